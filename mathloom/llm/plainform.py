@@ -72,7 +72,7 @@ class _Table(dict):
 SURE = "\\x00-\\x7f\\u4e00-\\u9fff\\u3400-\\u4dbf\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u0130\\u0132-\\u017f\\u1ea0-\\u1ef9" + PLAIN_MARKS
 _UNSURE = re.compile(f"[^{SURE}]")
 _COMBINING = re.compile("[̀-゙゚ͯ]")
-_TWIN_BESIDE_DIGIT = re.compile(f"(?<=[0-9])[{''.join(DIGIT_TWIN)}]+|[{''.join(DIGIT_TWIN)}]+(?=[0-9])")
+_TWIN_BESIDE_DIGIT = re.compile(f"(?<=[0-9])[{''.join(DIGIT_TWIN)}]+|[{''.join(DIGIT_TWIN)}]+(?=\\.?[0-9])")
 _PICTURE = re.compile("(?<=[←-⯿️\U0001f000-\U0001faff])[‍️]")
 _WORD = re.compile(r"[^\W㐀-鿿]+")
 _FOREIGN = re.compile("[Ͱ-ԯԱ-֏]")
