@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mathloom.functions.numbers import float_text
 from mathloom.functions.prompts import STEPWISE, tagged
 from mathloom.functions.text import D, numbers, present
 
@@ -61,9 +62,9 @@ def perturbed(number: Column, draw: Column, ratio: float) -> Column:
     new = v + v * ratio * (draw * 2 - 1)
     whole = F.greatest(F.lit(1).cast("bigint"), F.bround(new, 0).cast("bigint")).cast("string")
     places = F.char_length(F.element_at(F.split(number, r"\."), -1))
-    text = F.format_number(new, "0.0")
-    for k in (2, 3, 4, 5, 6):
-        text = F.when(places >= k, F.format_number(new, "0.0" + "#" * (k - 1))).otherwise(text)
+    text = float_text(F.bround(new, 1), point=True)
+    for k in range(2, 7):
+        text = F.when(places >= k, float_text(F.bround(new, k), point=True)).otherwise(text)
     return F.when(v.isNull(), number).when(v == 0, (F.floor(draw * 10) + 1).cast("string")).when(number.contains("."), text).otherwise(whole)
 
 
