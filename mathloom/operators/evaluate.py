@@ -34,10 +34,9 @@ def zipped(predictions: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of each value; the total is one more aggregation of the counts, not of the rows."""
+    """Count and share of each value; the total is a scalar over the counts, not over the rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")
+    return counts.withColumn("share", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def match_rate(df: DataFrame) -> DataFrame:
