@@ -78,9 +78,14 @@ def log_odds(chinese: list[str], other: list[str] = SEEDS) -> np.ndarray:
 
 
 def fit(prompts: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Fit on a bounded sample of prompts: the ``sample_rows`` of least hash, so the same on every run."""
-    rows = prompts.select(F.col(column).alias("p")).where("p IS NOT NULL").orderBy(F.xxhash64("p"), "p").limit(sample_rows).toPandas()
-    return log_odds([x for x in rows["p"]] or ["题目给出了几个数，下面逐个使用，求一共有多少？"])
+    """Fit on a bounded sample of prompts: the ``sample_rows`` of least hash, so the same on every run.
+
+    Rows that can't be among them (by the number of rows) are left out first, so a task hands on few of them.
+    """
+    rows = prompts.select(F.col(column).alias("p")).where("p IS NOT NULL").withColumn("h", F.xxhash64("p"))
+    share = min(1.0, 3 * sample_rows / max(1, rows.count()))
+    least = rows.where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy(F.pmod("h", F.lit(1 << 30)), "p").limit(sample_rows)
+    return log_odds([x for x in least.toPandas()["p"]] or ["题目给出了几个数，下面逐个使用，求一共有多少？"])
 
 
 def posterior_other(texts: pd.Series, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
