@@ -151,7 +151,7 @@ def defects(cot: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
                 kind = known.value.defects(f, b[f], b["question"])
                 keep = kind != None  # noqa: E711
                 if f == "wrong_cot":
-                    keep &= (kind != "empty") | (b["made"].fillna(False).to_numpy(bool))
+                    keep &= (kind != "empty") | (b["made"] == True).to_numpy(bool)  # noqa: E712 - null is no status
                 yield pd.DataFrame({"pos": b["pos"][keep], "field": f, "defect": kind[keep]})
 
     return rows.mapInPandas(run, "pos bigint, field string, defect string")

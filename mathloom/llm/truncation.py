@@ -36,6 +36,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NUMBER = re.compile(r"[0-9][0-9./%:]*")
 # What no sound value ends with (fixed values).
 _CUT = re.compile(r"(?:…|\.\.\.|�|[\\\"“‘'（(《\[{，,、：:；;+\-×÷*/=＝^_&~])$")
+_NUMBER_UNIT = re.compile(r"0 ?[^\W\d_]{0,4}$")
 _TAIL_NUMBER = re.compile(r"([0-9]+(?:\.[0-9]*)?)$")
 _ALL_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)?")
 
@@ -87,16 +88,23 @@ class EndModel:
     def __init__(self, codes: np.ndarray, end: np.ndarray, near: np.ndarray) -> None:
         self.codes, self.end, self.near = codes, end, near
 
-    def likely(self, squashed: list[str]) -> np.ndarray:
-        """Whether each text's end is one, by its longest known context; a number may also end where units are left out."""
+    def _of(self, squashed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Both likelihoods of each text's end, of its longest context known."""
         end, near = np.zeros(len(squashed)), np.zeros(len(squashed))
         for order in reversed(ORDERS) if len(self.codes) and squashed else ():
             h = tail_hashes(squashed, order)
             at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
             known = self.codes[at] == h
             end, near = np.where(known, self.end[at], end), np.where(known, self.near[at], near)
-        number = np.fromiter((t.endswith("0") for t in squashed), bool, len(squashed))
-        return (end >= LIKELY) | (number & (near >= LIKELY))
+        return end, near
+
+    def likely(self, squashed: list[str]) -> np.ndarray:
+        """Whether each text's end is one: as it stands, with the full stop it may lack, or, for a number with or
+        without its unit, if texts end soon after it."""
+        end, near = self._of(squashed)
+        stopped, _ = self._of([t + "。" if t[-1:].isalnum() else t for t in squashed])
+        number = np.fromiter((bool(_NUMBER_UNIT.search(t)) for t in squashed), bool, len(squashed))
+        return (np.maximum(end, stopped) >= LIKELY) | (number & (near >= LIKELY))
 
 
 def _squashed(values: pd.Series) -> list[str]:
