@@ -34,11 +34,11 @@ class PathJoin:
     on, at most ``depth`` times; then they are compared in blocks, whatever their size."""
 
     threshold: float = 0.6
-    trials: int = 14
+    trials: int = 20
     branch: int = 3
     node_limit: int = 1024
     depth: int = 6
-    theta: float = 2e-4
+    theta: float = 5e-4
     least_common: int = 20
     least_rare: int = 6
     sketch_slack: float = 3.2
