@@ -120,9 +120,9 @@ def answer_model(cot: DataFrame) -> truncation.EndModel:
             if s:
                 codes.append(truncation.tail_hashes(s, truncation.ORDERS[0]))
         u, c = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        yield pd.DataFrame({"code": u.view(np.int64), "n": c, "rows": [sum(map(len, codes))] * len(u)})
+        yield pd.DataFrame({"code": u.view(np.int64), "n": c})
 
-    counted = texts.mapInPandas(ends, "code bigint, n bigint, rows bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = texts.mapInPandas(ends, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     total = texts.count()
     got = counted.where(F.col("n") >= F.lit(max(2.0, truncation.LEAST_SHARE * total))).toPandas()
     codes = np.sort(got["code"].to_numpy(np.int64).view(np.uint64))
