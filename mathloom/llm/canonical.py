@@ -108,8 +108,10 @@ def spellings(odd: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _only_other_script(token: str) -> bool:
+    """Letters of one other script only: a word of that script, as far as its letters tell."""
     letters = [c for c in token if pf.TABLE[ord(c)] != ""]
-    return bool(letters) and all(pf._FOREIGN.match(c) for c in letters)
+    scripts = {pf.unicodedata.name(c, "?").split(" ")[0] for c in letters}
+    return bool(letters) and all(pf._FOREIGN.match(c) for c in letters) and len(scripts) == 1
 
 
 def rewrite(value: str, spelling: dict[str, str | None]) -> tuple[str, bool]:

@@ -88,6 +88,7 @@ class Judge:
         left = np.flatnonzero(kind == None)  # noqa: E711
         texts = pd.Series([plain[i] for i in left], dtype=object)
         score, letters = language.posterior_other(texts, self.odds)
+        score[np.fromiter((language.chinese_share(t) > 0.6 for t in texts), bool, len(texts))] = -1.0  # a few foreign words
         prompt, _ = language.posterior_other(pd.Series([asked[i] for i in left], dtype=object), self.odds) if len(left) else (np.zeros(0), None)
         # the response is in another language than its prompt
         foreign = (letters >= 3) & (score > 0) & (prompt <= 0)

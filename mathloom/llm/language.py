@@ -44,6 +44,7 @@ SEEDS = [
 # Letters that are no language: units of numbers, markup, step labels (fixed values).
 _UNIT_AFTER_NUMBER = re.compile(r"(?<=\d)\s*(?:[kcdm]?m[²³23]?|[km]?g|[km]?l|km/h|min|t|h|s)(?![A-Za-z])", re.IGNORECASE)
 _STEP = re.compile(r"\\[A-Za-z]+|\bstep\s*\d*", re.IGNORECASE)
+_CHINESE = re.compile("[㐀-鿿]")
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -52,6 +53,12 @@ def letters(text: str) -> str:
     return _LETTERS.sub(" ", _STEP.sub(" ", _UNIT_AFTER_NUMBER.sub(" ", text))).strip().lower()
 
 
+def chinese_share(text: str) -> float:
+    """Share of Chinese characters among the letters."""
+    kept = letters(text).replace(" ", "")
+    return len(_CHINESE.findall(kept)) / len(kept) if kept else 0.0
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(slot, text number) of the letter unigrams and bigrams of each text."""
     padded = [f" {t} " for t in texts]

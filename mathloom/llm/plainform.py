@@ -28,7 +28,7 @@ LOOKALIKE = {a: b for one, other in _LOOK for a, b in zip(one, other, strict=Tru
 # Letters that also pass for a digit when one stands beside them.
 DIGIT_TWIN = {"О": "0", "о": "0", "Ο": "0", "ο": "0", "օ": "0", "З": "3", "І": "1", "Ι": "1", "ӏ": "1", "ǀ": "1", "ⅼ": "1", "б": "6"}
 
-_SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>")
+_SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<square>")
 
 
 def _is_ignorable(c: str) -> bool:
@@ -54,7 +54,8 @@ def _fold(c: str) -> str | None:
     if how:
         head = how.split(" ")[0]
         twin = unicodedata.normalize("NFKC", c)
-        if head in _SAME_LOOK or (head == "<compat>" and len(twin) == 1) or (head[0] != "<" and unicodedata.normalize("NFC", c) != c):
+        letters = twin.isascii() and twin.isalpha()  # ligatures and Roman numerals
+        if head in _SAME_LOOK or (head == "<compat>" and (len(twin) == 1 or letters)) or (head[0] != "<" and unicodedata.normalize("NFC", c) != c):
             return twin
     return None
 

@@ -88,10 +88,10 @@ class EndModel:
     def __init__(self, codes: np.ndarray, end: np.ndarray, near: np.ndarray) -> None:
         self.codes, self.end, self.near = codes, end, near
 
-    def _of(self, squashed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _of(self, squashed: list[str], orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
         """Both likelihoods of each text's end, of its longest context known."""
         end, near = np.zeros(len(squashed)), np.zeros(len(squashed))
-        for order in reversed(ORDERS) if len(self.codes) and squashed else ():
+        for order in reversed(orders) if len(self.codes) and squashed else ():
             h = tail_hashes(squashed, order)
             at = np.minimum(np.searchsorted(self.codes, h), len(self.codes) - 1)
             known = self.codes[at] == h
@@ -102,7 +102,7 @@ class EndModel:
         """Whether each text's end is one: as it stands, with the full stop it may lack, or, for a number with or
         without its unit, if texts end soon after it."""
         end, near = self._of(squashed)
-        stopped, _ = self._of([t + "。" if t[-1:].isalnum() else t for t in squashed])
+        stopped, _ = self._of([t + "。" if t[-1:].isalnum() else t for t in squashed], ORDERS[:1])
         number = np.fromiter((bool(_NUMBER_UNIT.search(t)) for t in squashed), bool, len(squashed))
         return (np.maximum(end, stopped) >= LIKELY) | (number & (near >= LIKELY))
 

@@ -8,7 +8,7 @@ from mathloom.llm import language, truncation
 from tests.conftest import DATA
 
 Q = "为了筹备枫叶节，松林小学忙了起来，王小明买了12份蜡笔，每份18元，另付运费40元，一共花了多少元？"
-GOOD = "先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256元。答案是256元。"
+GOOD = "先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256元。所以答案是256元。"
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +24,8 @@ CASES = [
     ("First we look at the numbers 12 and 18. Then we multiply. So the answer is 256.", "other_language"),
     ("주어진 수는 12와 18입니다. 따라서 정답은 256입니다.", "other_language"), ("わかっている数は12と18です。したがって、答えは256です。", "other_language"),
     (GOOD, None), (GOOD[:-1], None), ("Step 1: 18\\times 12=216\nStep 2: 216+40=256\n答案：256", None),
-    (GOOD[:30], "truncated"), ("先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256元。答案是", "truncated"), ("先算12份蜡笔的价钱：18×…", "truncated"),
-    ("先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256。答案是25", "truncated"),
+    (GOOD[:30], "truncated"), ("先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256元。所以答案是", "truncated"), ("先算12份蜡笔的价钱：18×…", "truncated"),
+    ("先算12份蜡笔的价钱：18×12=216。加上运费40元，216+40=256。所以答案是25", "truncated"),
 ]
 
 

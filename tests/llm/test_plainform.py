@@ -10,7 +10,7 @@ from mathloom.llm.plainform import fold_text, similarity_form
 
 CASES = {
     "１２．５％": "12.5%", "𝟷2𝟼": "126", "42О个": "420个", "9З个": "93个", "З": "3", "484км": "484km", "кɡ": "kg", "⽜奶": "牛奶", "Fjörd": "Fjörd", "Mύno": "Múno",
-    "1\u200b2": "12", "a\u00a0b": "a b", "привет мир": "привет мир", "，。？！：；（）、“”【】《》×÷": "，。？！：；（）、“”【】《》×÷", "스물네": "스물네", "1⁄4": "1/4", "": "", "\t\n ": "\t\n ",
+    "1\u200b2": "12", "a\u00a0b": "a b", "привет мир": "привет мир", "，。？！：；（）、“”【】《》×÷": "，。？！：；（）、“”【】《》×÷", "스물네": "스물네", "1⁄4": "1/4", "9㎏": "9kg", "ﬁve": "five", "Ⅳ": "IV", "①": "①", "": "", "\t\n ": "\t\n ",
 }
 
 
@@ -50,7 +50,7 @@ def test_values(spark):
     assert not got[2][1] and not got[3][1]  # words wholly in another script, not known in plain letters
     assert 4 not in got and 6 not in got and 7 not in got and 8 not in got
     assert got[5] == ("Múno", True) and got[9] == ("1 个", True)
-    assert not got.get(10, ("", False))[1]
+    assert not got.get(10, ("", False))[1] and not got.get(11, ("", False))[1]
     assert got[12] == ("x" * 50_000, True)
 
 
