@@ -35,11 +35,13 @@ def without_units(c: Column) -> Column:
     return c
 
 
-def clean_answer(c: Column, units: bool = True) -> Column:
-    """Units and outer blanks off; percentages and fractions as they are, numbers in normal form, other text as is."""
-    t = strip(without_units(c)) if units else strip(c)
-    kept = t.rlike(rf"^-?{D}+\.?{D}*%$") | t.rlike(rf"^-?{D}+\.?{D}*/{D}+\.?{D}*$")
-    return F.when(kept, t).otherwise(F.coalesce(float_text(to_double(t)), t))
+def with_cleaned(df: DataFrame, *columns: str, units: tuple[str, ...] = ()) -> DataFrame:
+    """Clean answers in place: units (of the columns in ``units``) and outer blanks off; percentages and fractions as
+    they are, numbers in normal form, other text as is. Text and value are projections of their own."""
+    df = df.withColumns({c: strip(without_units(F.col(c)) if c in units else F.col(c)) for c in columns})
+    kept = rf"^-?{D}+\.?{D}*(?:%|/{D}+\.?{D}*)$"
+    df = df.withColumns({f"_d{c}": F.when(~F.col(c).rlike(kept), to_double(F.col(c))) for c in columns})
+    return df.withColumns({c: F.coalesce(float_text(F.col(f"_d{c}")), F.col(c)) for c in columns}).drop(*(f"_d{c}" for c in columns))
 
 
 def with_extracted_answer(df: DataFrame, text: str, answer: str = "extracted", level: str = "level", patterns: Sequence[tuple[str, str]] = LEVELS) -> DataFrame:
@@ -51,7 +53,7 @@ def with_extracted_answer(df: DataFrame, text: str, answer: str = "extracted", l
     staged = staged.withColumns(found)
     # only what a tag holds can have units: the other patterns capture numbers
     own = patterns is not LEVELS
-    staged = staged.withColumns({m: clean_answer(F.col(m), units=own or m == "_m0") for m in found})
+    staged = with_cleaned(staged, *found, units=tuple(found) if own else ("_m0",))
     hit = [F.col(m) != "" for m in found]
     nothing = F.coalesce(F.col(text), F.lit("")) == ""
     value = F.when(nothing, F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.functions.text import D, plain_digits, strip
@@ -12,9 +12,8 @@ TOLERANCE = 1e-6
 
 def to_double(c: Column) -> Column:
     """Number of a text as Python's float reads it (without hexadecimal forms); null where it can't."""
-    t = F.lower(plain_digits(strip(c)))
-    number = F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), t.try_cast("double"))
-    return number.when(t.rlike("^[+-]?nan$"), F.lit(float("nan"))).when(t.rlike("^[+]?inf(inity)?$"), F.lit(float("inf"))).when(t.rlike("^-inf(inity)?$"), F.lit(float("-inf")))
+    t = plain_digits(strip(c))
+    return F.when(t.rlike(r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|nan|inf(?:inity)?)$"), t.try_cast("double"))
 
 
 def float_text(d: Column, point: bool = False) -> Column:
@@ -44,15 +43,27 @@ def answers_match(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
     return F.coalesce(strip(a) == strip(b), F.lit(False)) | close(normalize_answer(a), normalize_answer(b), tol)
 
 
-def normalize_number(c: Column) -> Column:
-    """Normal text of a number: a whole fraction as integer, another to 6 places, a percentage as float; else null."""
-    t = strip(c)
-    top = F.regexp_extract(t, rf"^(-?{D}+)/({D}+)$", 1)
-    below = F.regexp_extract(t, rf"^(-?{D}+)/({D}+)$", 2)
-    q = F.try_divide(to_double(F.nullif(top, F.lit(""))), to_double(F.nullif(below, F.lit(""))))
-    percent = to_double(F.nullif(F.regexp_extract(t, rf"^(-?{D}+\.?{D}*)%$", 1), F.lit("")))
-    number = to_double(F.nullif(F.regexp_extract(t, rf"^(-?{D}+\.?{D}*)$", 1), F.lit("")))
-    return F.coalesce(float_text(F.bround(q, 6)), float_text(percent, point=True), float_text(number))
+_FRACTION, _PERCENT, _PLAIN = rf"^-?{D}+/{D}+$", rf"^-?{D}+\.?{D}*%$", rf"^-?{D}+\.?{D}*$"
+
+
+def with_normal(df: DataFrame, **texts: str) -> DataFrame:
+    """Add the normal text of a number for each ``new=column``: a whole fraction as integer, another to 6 places, a
+    percentage as float, else null.
+
+    Text, value and normal text are projections of their own: as one expression the value would be spelled out seven
+    times, too much for one generated method.
+    """
+    df = df.withColumns({f"_t_{k}": strip(F.col(c)) for k, c in texts.items()})
+    values = {}
+    for k in texts:
+        t = F.col(f"_t_{k}")
+        parts = F.split(t, "/")
+        values[f"_d_{k}"] = (
+            F.when(t.rlike(_PLAIN), to_double(t)).when(t.rlike(_PERCENT), to_double(F.rtrim(t, F.lit("%")))).when(t.rlike(_FRACTION), F.bround(F.try_divide(to_double(F.get(parts, 0)), to_double(F.get(parts, 1))), 6))
+        )
+    df = df.withColumns(values)
+    shown = {k: F.when(F.col(f"_t_{k}").endswith("%"), float_text(F.col(f"_d_{k}"), point=True)).otherwise(float_text(F.col(f"_d_{k}"))) for k in texts}
+    return df.withColumns(shown).drop(*(f"_{x}_{k}" for x in "td" for k in texts))
 
 
 def values_equal(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
@@ -64,11 +75,15 @@ def decimals(c: Column) -> Column:
     return F.coalesce(F.char_length(F.get(F.split(strip(c), r"\."), 1)), F.lit(0))
 
 
-def round_match(pred: Column, gold: Column, most: int = 12) -> Column:
-    """Equal when rounded to the fewer decimals of the two. Ties of decimals that binary can't hold may differ."""
-    a, b = to_double(pred), to_double(gold)
-    places = F.least(decimals(pred), decimals(gold))
+def round_match(a: Column, b: Column, places: Column, most: int = 12) -> Column:
+    """Two doubles equal when rounded to ``places``, a column. Ties of decimals that binary can't hold may differ."""
     same = F.when(places == 0, F.bround(a, 0) == F.bround(b, 0))
     for k in range(1, most + 1):
         same = same.when(places == k, F.bround(a, k) == F.bround(b, k))
     return F.coalesce(same.otherwise(a == b), F.lit(False))
+
+
+def with_round_match(df: DataFrame, out: str, pred: str, gold: str) -> DataFrame:
+    """Add whether two normal texts are equal when rounded to the fewer decimals of the two; false unless both are numbers."""
+    staged = df.withColumns({"_a": to_double(F.col(pred)), "_b": to_double(F.col(gold)), "_k": F.least(decimals(F.col(pred)), decimals(F.col(gold)))})
+    return staged.withColumn(out, round_match(F.col("_a"), F.col("_b"), F.col("_k"))).drop("_a", "_b", "_k")

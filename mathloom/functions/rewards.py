@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.functions.answers import with_extracted_answer
-from mathloom.functions.numbers import normalize_number, round_match
+from mathloom.functions.numbers import with_normal, with_round_match
 from mathloom.functions.text import has_latex
 
 # Words and limits of the scores (fixed values).
@@ -45,19 +45,19 @@ def latex_score(text: Column) -> Column:
     return F.when(has_latex(text), _double(-0.3)).otherwise(_double(0))
 
 
-def correctness_score(pred: Column, gold: Column, question: Column) -> Column:
-    """``pred`` and ``gold`` in normal form, as columns; null gold means that it can't be read."""
+def correctness_score(pred: Column, gold: Column, near: Column, question: Column) -> Column:
+    """``pred`` and ``gold`` in normal form, ``near`` if they round to the same; null means that one can't be read."""
     exact = F.coalesce(F.coalesce(question, F.lit("")).rlike("保留|精确到"), F.lit(False))
-    return F.when(pred.isNull() | gold.isNull(), _double(-0.5)).when(pred == gold, _double(1)).when(~exact & round_match(pred, gold), _double(0.3)).otherwise(_double(-0.5))
+    return F.when(pred.isNull() | gold.isNull(), _double(-0.5)).when(pred == gold, _double(1)).when(~exact & near, _double(0.3)).otherwise(_double(-0.5))
 
 
 def with_rewards(df: DataFrame, text: str, gold: str, question: str) -> DataFrame:
     """Add the five scores and ``reward``; a row without gold answer scores 0 for correctness; null text counts as "None"."""
     staged = with_extracted_answer(df.withColumn("_c", F.coalesce(F.col(text), F.lit("None"))), "_c", "_e", "_l")
-    staged = staged.withColumns({"_p": normalize_number(F.col("_e")), "_g": normalize_number(F.col(gold))})
+    staged = with_round_match(with_normal(staged, _p="_e", _g=gold), "_r", "_p", "_g")
     c = F.col("_c")
     scores = (
-        F.when(F.col(gold).isNull(), _double(0)).otherwise(correctness_score(F.col("_p"), F.col("_g"), F.col(question))),
+        F.when(F.col(gold).isNull(), _double(0)).otherwise(correctness_score(F.col("_p"), F.col("_g"), F.col("_r"), F.col(question))),
         format_score(c),
         logic_score(c),
         length_score(c),
@@ -65,12 +65,12 @@ def with_rewards(df: DataFrame, text: str, gold: str, question: str) -> DataFram
     )
     staged = staged.withColumns(dict(zip(PARTS, scores)))
     total = sum((F.col(p) for p in PARTS[1:]), F.col(PARTS[0]))
-    return staged.withColumn("reward", total).drop("_c", "_e", "_l", "_p", "_g")
+    return staged.withColumn("reward", total).drop("_c", "_e", "_l", "_p", "_g", "_r")
 
 
 def with_legacy_reward(df: DataFrame, text: str, gold: str, format_weight: float = 0.2, correctness_weight: float = 1.0, pattern: str = r"(?s)<think>.*?</think>\s*<answer>.*?</answer>") -> DataFrame:
     """Add ``legacy_reward``: weighted format match and equality of the normal forms."""
-    staged = with_extracted_answer(df, text, "_e", "_l").withColumns({"_p": normalize_number(F.col("_e")), "_g": normalize_number(F.col(gold))})
+    staged = with_normal(with_extracted_answer(df, text, "_e", "_l"), _p="_e", _g=gold)
     form = F.coalesce(F.col(text).rlike(pattern), F.lit(False)).cast("double")
     right = F.coalesce(F.col("_p") == F.col("_g"), F.lit(False)).cast("double")
     return staged.withColumn("legacy_reward", form * _double(format_weight) + right * _double(correctness_weight)).drop("_e", "_l", "_p", "_g")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.functions.numbers import normalize_number, values_equal
+from mathloom.functions.numbers import values_equal, with_normal
 
 
 def eval_details(df: DataFrame, prediction: str, reference: str) -> DataFrame:
     """Add the normal forms of both and ``correct``."""
-    staged = df.withColumns({"pred_normalized": normalize_number(F.col(prediction)), "ref_normalized": normalize_number(F.col(reference))})
+    staged = with_normal(df, pred_normalized=prediction, ref_normalized=reference)
     return staged.withColumn("correct", values_equal(F.col("pred_normalized"), F.col("ref_normalized")))
 
 

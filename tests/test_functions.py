@@ -48,7 +48,8 @@ def test_own_patterns(spark):
     [("3/4", "0.75"), ("6/3", "2"), ("1/3", "0.333333"), ("3/0", None), ("1.5/2", None), ("25%", "25.0"), ("12.50", "12.5"), ("007", "7"), ("", None), (None, None), ("x", None), (" 5 ", "5"), ("9" * 400, None), ("10000000.5", "10000000.5"), ("0.00001", "0.00001")],
 )
 def test_normal_number(spark, given, want):
-    assert one(spark, given, numbers.normalize_number) == want
+    df = numbers.with_normal(spark.createDataFrame([(given,)], "v string"), x="v")
+    assert df.first()["x"] == want
 
 
 @pytest.mark.parametrize("a, b, same", [("3/5", "0.6", True), ("1/5", "2/10", True), ("10%", "10", True), ("x", " x ", True), ("x", "y", False), (None, None, False), ("nan", "1", False), ("1/2/3", "1", False)])
@@ -60,7 +61,7 @@ def test_answers_match(spark, a, b, same):
 @pytest.mark.parametrize("a, b, same", [("3.333", "3.3", True), ("72", "73", False), ("3.4", "3", True), ("x", "3", False), ("2.5", "2", True)])
 def test_round_match(spark, a, b, same):
     df = spark.createDataFrame([(a, b)], "a string, b string")
-    assert df.select(numbers.round_match(F.col("a"), F.col("b")).alias("x")).first()["x"] is same
+    assert numbers.with_round_match(df, "x", "a", "b").first()["x"] is same
 
 
 def test_parse_response(spark):
