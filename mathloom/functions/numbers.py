@@ -43,6 +43,14 @@ def answers_match(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
     return F.coalesce(strip(a) == strip(b), F.lit(False)) | close(normalize_answer(a), normalize_answer(b), tol)
 
 
+def with_match(df: DataFrame, out: str, a: str, b: str, tol: float = TOLERANCE) -> DataFrame:
+    """Add ``answers_match`` of two columns, with texts and values as projections of their own."""
+    staged = df.withColumns({"_a": strip(F.col(a)), "_b": strip(F.col(b))})
+    staged = staged.withColumns({"_va": normalize_answer(F.col("_a")), "_vb": normalize_answer(F.col("_b"))})
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)) | close(F.col("_va"), F.col("_vb"), tol)
+    return staged.withColumn(out, same).drop("_a", "_b", "_va", "_vb")
+
+
 _FRACTION, _PERCENT, _PLAIN = rf"^-?{D}+/{D}+$", rf"^-?{D}+\.?{D}*%$", rf"^-?{D}+\.?{D}*$"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mathloom.functions.numbers import answers_match
+from mathloom.functions.numbers import answers_match, with_match
 from mathloom.functions.text import filled, has_latex
 
 LEAST_LENGTH = 10
@@ -32,8 +32,7 @@ def demote_latex(df: DataFrame) -> DataFrame:
 def consensus(df: DataFrame) -> DataFrame:
     """Unmatched rows with two answers: where they agree they become the answer, else the row goes. Run after demotion."""
     open_ = ~F.coalesce("answer_match", F.lit(False)) & filled(F.col("api_answer")) & filled(F.col("wrong_answer"))
-    agree = answers_match(F.col("api_answer"), F.col("wrong_answer"))
-    kept = df.withColumns({"_open": open_, "_agree": agree}).where(~F.col("_open") | F.col("_agree"))
+    kept = with_match(df.withColumn("_open", open_), "_agree", "api_answer", "wrong_answer").where(~F.col("_open") | F.col("_agree"))
     fixed = F.col("_open") & F.col("_agree")
     return kept.withColumns({"answer": F.when(fixed, F.col("api_answer")).otherwise(F.col("answer")), "answer_match": F.when(fixed, F.lit(True)).otherwise(F.col("answer_match"))}).drop("_open", "_agree")
 

@@ -96,8 +96,8 @@ def parse_responses(spark, d):
 @_query(f"SELECT pos, {o.as_float('api_answer')} AS value, {o.normal('api_answer')} AS normal, {o.match('api_answer', 'answer')} AS same FROM train_cot_raw")
 def answers_match(spark, d):
     a = F.col("api_answer")
-    rows = numbers.with_normal(_cot(spark, d).select("pos", "api_answer", "answer"), normal="api_answer")
-    return rows.select("pos", numbers.normalize_answer(a).alias("value"), "normal", numbers.answers_match(a, F.col("answer")).alias("same"))
+    rows = numbers.with_match(numbers.with_normal(_cot(spark, d).select("pos", "api_answer", "answer"), normal="api_answer"), "same", "api_answer", "answer")
+    return rows.select("pos", numbers.normalize_answer(a).alias("value"), "normal", "same")
 
 
 _SANITIZED = "trim(" + o.strip("replace(replace(replace(coalesce(question, ''), chr(92) || '\"', '\"'), chr(92) || 'n', chr(10)), chr(92) || 't', ' ')") + ", '\"')"
