@@ -35,14 +35,18 @@ _REFUSAL = re.compile(
     re.IGNORECASE,
 )
 _WORKED = re.compile(r"[0-9}）)][^\W\d]{0,3}\s*(?:[×÷+*=]|-(?=[0-9])|\\times|\\div)\s*[0-9（(\\]|=\s*[0-9\\]")
+_DIGIT = re.compile("[0-9]")
 _RESULT = re.compile(r"(?:答案|结果|得到|应填|答)\D{0,4}[0-9]")
 _ANSWER = re.compile(r"^[^\w]*[0-9]+(?:[.:/][0-9]+)*(?:%|[^\W\d]{1,4}[23]?)?[。.！!]?$")
 
 
 def is_nothing(plain: str) -> bool:
     """Null apart, a value says that nothing is there if it is blank, only marks, or one of the words for nothing."""
+    plain = plain.strip()
+    if len(plain) > 40:
+        return False
     bare = re.sub(r"[\W_]+", "", plain).lower()
-    return bare in NOTHING or (bare == "" and len(plain.strip()) < 8 and not re.search(r"[…�\\]|\.\.\.", plain))
+    return bare in NOTHING or (bare == "" and len(plain) < 8 and not re.search(r"[…�\\]|\.\.\.", plain))
 
 
 def copy_shares(values: list[str], questions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,11 +77,12 @@ class Judge:
         kind[null | np.fromiter(map(is_nothing, plain), bool, n)] = "empty"
 
         left = np.flatnonzero(kind == None)  # noqa: E711
-        worked = np.fromiter((bool(_WORKED.search(plain[i]) or _RESULT.search(plain[i])) for i in left), bool, len(left))
-        no = np.fromiter((bool(_REFUSAL.search(plain[i])) and not re.search("[0-9]", plain[i]) for i in left), bool, len(left))
-        kind[left[no & ~worked]] = "refusal"
+        digit = np.fromiter((bool(_DIGIT.search(plain[i])) for i in left), bool, len(left))
+        no = np.fromiter((not d and bool(_REFUSAL.search(plain[i])) for i, d in zip(left, digit)), bool, len(left))
+        kind[left[no]] = "refusal"  # without a digit nothing is worked out
 
-        left, worked = left[~(no & ~worked)], worked[~(no & ~worked)]
+        left = left[~no]
+        worked = np.fromiter((bool(_WORKED.search(plain[i]) or _RESULT.search(plain[i])) for i in left), bool, len(left))
         asked = questions.fillna("").tolist()
         long = np.fromiter((len(plain[i]) >= 12 for i in left), bool, len(left)) & (~worked)
         some = left[long]
@@ -86,12 +91,13 @@ class Judge:
         kind[some[copies]] = "question_copy"
 
         left = np.flatnonzero(kind == None)  # noqa: E711
-        texts = pd.Series([plain[i] for i in left], dtype=object)
-        score, letters = language.posterior_other(texts, self.odds)
-        score[np.fromiter((language.chinese_share(t) > 0.6 for t in texts), bool, len(texts))] = -1.0  # a few foreign words
-        prompt, _ = language.posterior_other(pd.Series([asked[i] for i in left], dtype=object), self.odds) if len(left) else (np.zeros(0), None)
+        maybe = np.flatnonzero(~language.surely_chinese([plain[i] for i in left]))
+        score, letters, chinese = language.posterior_other(pd.Series([plain[left[i]] for i in maybe], dtype=object), self.odds)
+        foreign = np.zeros(len(left), bool)
+        foreign[maybe] = (letters >= 3) & (score > 0) & (chinese <= language.MAINLY)
         # the response is in another language than its prompt
-        foreign = (letters >= 3) & (score > 0) & (prompt <= 0)
+        some = np.flatnonzero(foreign)
+        foreign[some] = language.posterior_other(pd.Series([asked[left[i]] for i in some], dtype=object), self.odds)[0] <= 0
         kind[left[foreign]] = "other_language"
 
         left = left[~foreign]
@@ -144,7 +150,8 @@ def defects(cot: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     columns are not looked at. A null question makes no copy.
     """
     known = cot.sparkSession.sparkContext.broadcast(judge(cot))
-    rows = cot.select("pos", "question", F.lower(F.regexp_replace("wrong_status", r"\s", "")).isin(*MADE).alias("made"), *fields)
+    # positions pass Python as text: a null among them would make floats of large integers
+    rows = cot.select(F.col("pos").cast("string").alias("pos"), "question", F.lower(F.regexp_replace("wrong_status", r"\s", "")).isin(*MADE).alias("made"), *fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -155,7 +162,8 @@ def defects(cot: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
                     keep &= (kind != "empty") | (b["made"] == True).to_numpy(bool)  # noqa: E712 - null is no status
                 yield pd.DataFrame({"pos": b["pos"][keep], "field": f, "defect": kind[keep]})
 
-    return rows.mapInPandas(run, "pos bigint, field string, defect string")
+    found = rows.mapInPandas(run, "pos string, field string, defect string")
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def truncated(cot: DataFrame) -> DataFrame:
