@@ -144,7 +144,8 @@ def canonical_values(values: DataFrame) -> DataFrame:
     only, null and empty values are plain as they stand and give no row; an empty table gives none. Repeated rows give
     one. Very long values are treated whole.
     """
-    values = values.select("field", "rec_key", "value")
+    # keys pass Python as text: a null among them would make floats of large integers
+    values = values.select("field", F.col("rec_key").cast("string").alias("rec_key"), "value")
     odd = values.where(suspicious(F.col("value"))).distinct()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +153,7 @@ def canonical_values(values: DataFrame) -> DataFrame:
             rows = [(f, k, v, t, None if t is None else skeleton(t)) for f, k, v in zip(b["field"], b["rec_key"], b["value"]) for t in dict.fromkeys(tokens(v)) or [None]]
             yield pd.DataFrame(rows, columns=["field", "rec_key", "value", "token", "skeleton"])
 
-    pieces = odd.mapInPandas(split, "field string, rec_key bigint, value string, token string, skeleton string")
+    pieces = odd.mapInPandas(split, "field string, rec_key string, value string, token string, skeleton string")
     known = spellings(pieces.where("token IS NOT NULL"), vocabulary(values, "value"))
     rows = pieces.join(known, "token", "left").groupBy("field", "rec_key", "value").agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("token", "canonical"))).alias("known"))
 
@@ -161,7 +162,8 @@ def canonical_values(values: DataFrame) -> DataFrame:
             done = [rewrite(v, {x["token"]: x["canonical"] for x in k}) for v, k in zip(b["value"], b["known"])]
             yield b[["field", "rec_key", "value"]].assign(plain=[p for p, _ in done], odd=[o for _, o in done])
 
-    return rows.mapInPandas(finish, "field string, rec_key bigint, value string, plain string, odd boolean")
+    done = rows.mapInPandas(finish, "field string, rec_key string, value string, plain string, odd boolean")
+    return done.withColumn("rec_key", F.col("rec_key").cast("bigint"))
 
 
 def fields(train: DataFrame, cot: DataFrame) -> DataFrame:

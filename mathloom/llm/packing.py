@@ -100,7 +100,8 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "tokens", capacity
     histogram = parts.groupBy("tokens").agg(F.sum("n").alias("n")).collect()  # at most capacity + 1 rows
     slots = rows.sparkSession.sparkContext.broadcast(plan({r["tokens"]: r["n"] for r in histogram}, capacity))
     local = F.row_number().over(Window.partitionBy("tokens", "chunk").orderBy(key, "piece")) - 1
-    ranked = rows.withColumn("local", local).join(before, ["tokens", "chunk"]).select(key, "piece", "tokens", (F.col("local") + F.col("before")).alias("rank"))
+    # keys pass Python as text: a null among them would make floats of large integers
+    ranked = rows.withColumn("local", local).join(before, ["tokens", "chunk"]).select(F.col(key).cast("string").alias(key), "piece", "tokens", (F.col("local") + F.col("before")).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -109,4 +110,4 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "tokens", capacity
                 yield b.drop(columns="rank")
 
     kind = dict(sizes.dtypes)[key]
-    return ranked.mapInPandas(place, f"`{key}` {kind}, piece int, tokens int, container bigint")
+    return ranked.mapInPandas(place, f"`{key}` string, piece int, tokens int, container bigint").withColumn(key, F.col(key).cast(kind))

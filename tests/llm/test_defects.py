@@ -78,7 +78,7 @@ def test_language_held_out():
     """Sentences that neither the seeds nor the sample hold."""
     odds = language.log_odds([Q] * 3)
     other = ["The shop sells apples for two coins each.", "Wir haben noch sieben Äpfel übrig.", "Quedan siete manzanas en la caja.", "Il reste sept pommes dans la boîte.", "상자에 사과가 남아 있습니다.", "箱の中にりんごがのこっています。", "Còn lại bảy quả táo trong hộp."]
-    score, _ = language.posterior_other(pd.Series(other), odds)
+    score, _, _ = language.posterior_other(pd.Series(other), odds)
     assert (score > 0).all()
-    score, letters = language.posterior_other(pd.Series(["箱子里还剩七个苹果", "Step 1: 速度为 12 km/h，路程 \\frac{1}{2}", "12 kg"]), odds)
+    score, letters, _ = language.posterior_other(pd.Series(["箱子里还剩七个苹果", "Step 1: 速度为 12 km/h，路程 \\frac{1}{2}", "12 kg"]), odds)
     assert (score[:2] < 0).all() and letters[2] == 0
