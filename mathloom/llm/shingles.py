@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -50,6 +52,22 @@ def segment_min(values: np.ndarray, offsets: np.ndarray, empty: int) -> np.ndarr
     return out
 
 
+def counted(batches: Iterator[np.ndarray], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code, count) of the codes of all batches, summed up while no more than ``most`` distinct ones are held.
+
+    Codes met once since the last hand-over are left out, so a count is short by the number of hand-overs at most.
+    """
+    codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for new in batches:
+        u, c = np.unique(new, return_counts=True)
+        codes, at = np.unique(np.concatenate([codes, u]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([counts, c]), len(codes)).astype(np.int64)
+        if len(codes) > most:
+            yield codes[counts > 1], counts[counts > 1]
+            codes, counts = codes[:0], counts[:0]
+    yield codes[counts > 1], counts[counts > 1]
+
+
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
     """Exact Jaccard similarity of the trigram sets of each pair; two sets without trigrams are alike if the texts are."""
     n = len(left)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm.plainform import similarity_form
-from mathloom.llm.shingles import jaccard, mix, segment_min, trigrams
+from mathloom.llm.shingles import counted, jaccard, mix, segment_min, trigrams
 from mathloom.sources.shared import materialize
 
 _EMPTY = 2**64 - 1
@@ -68,19 +68,13 @@ def representatives(records: DataFrame) -> DataFrame:
 def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> np.ndarray:
     """Sorted codes of tokens in at least max(theta * n, least_common) records: at most mean length / theta codes.
 
-    A partition leaves out tokens it saw once, so a count may be short by the number of partitions at most; it only
-    steers the choice of tokens, never a result.
+    Tokens that a partition met once are left out, so a count may be a little short; it only steers the choice of
+    tokens, never a result.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            new, _ = trigrams(b["plain"].tolist())
-            u, c = np.unique(new, return_counts=True)
-            codes, at = np.unique(np.concatenate([codes, u]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, c]), len(codes)).astype(np.int64)
-        keep = counts > 1
-        yield pd.DataFrame({"code": codes[keep].view(np.int64), "n": counts[keep]})
+        for codes, counts in counted(trigrams(b["plain"].tolist())[0] for b in batches):
+            yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
 
     least = max(p.theta * n, p.least_common)
     found = reps.select("plain").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(float(least))).select("code")

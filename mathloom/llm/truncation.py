@@ -146,7 +146,8 @@ def fit_ends(values: DataFrame, column: str = "value") -> EndModel:
                 hit = c[at] == h
                 counts += np.bincount(at[hit], minlength=len(c))
                 close += np.bincount(at[hit & (to_come <= NEAR)], minlength=len(c))
-        yield pd.DataFrame({"i": np.arange(len(c)), "n": counts, "near": close})
+        met = np.flatnonzero(counts)
+        yield pd.DataFrame({"i": met, "n": counts[met], "near": close[met]})
 
     seen = texts.mapInPandas(anywhere, "i bigint, n bigint, near bigint").groupBy("i").agg(F.sum("n").alias("n"), F.sum("near").alias("near")).toPandas()
     n_any, n_near = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
