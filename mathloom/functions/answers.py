@@ -67,6 +67,7 @@ def with_extracted_answer(df: DataFrame, text: str, answer: str = "extracted", l
 def with_parsed_response(df: DataFrame, content: str) -> DataFrame:
     """Add ``parsed_cot``, ``parsed_answer`` and ``parse_error`` of a reply in the reasoning-and-answer format."""
     c = F.coalesce(F.col(content), F.lit(""))
+    # marks of the reply format (fixed values)
     reasoning, answer = rf"(?s)推理过程[：:]{S}*(.*?)答案[：:]", rf"答案[：:]{S}*({NUM})"
     staged = df.withColumns(
         {
@@ -90,6 +91,7 @@ def split_steps(c: Column) -> Column:
     def parts(pattern: str) -> Column:
         return F.filter(F.transform(F.split(c, pattern), strip), lambda x: x != "")
 
+    # step marks, lines, sentences (fixed values)
     marks, lines, sentences = parts(rf"(?:第[一二三四五六七八九十{D}]+步|步骤{S}*{D}+|{D}+[.、)）])"), parts("\n"), parts("[。.；;]")
     empty = F.array().cast("array<string>")
     return F.when(strip(F.coalesce(c, F.lit(""))) == "", empty).when(F.size(marks) >= 3, marks).when(F.size(lines) >= 3, lines).when(F.size(sentences) >= 2, sentences).otherwise(F.array(strip(c)))

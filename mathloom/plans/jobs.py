@@ -13,7 +13,7 @@ from mathloom.sources.files import resume
 from mathloom.sources.generate import Generator, generate
 
 Make = Callable[[], Generator]
-# Prompt texts (fixed values).
+# Prompt texts of these jobs.
 RIGHT = "请一步一步解答下面的小学数学题，写出推理过程，并以“答案：”给出不带单位的数字。\n"
 WRONG = "请解答下面的小学数学题，但在某一步犯一个自然的计算错误，并以“答案：”给出数字。\n"
 HARD = WRONG + "正确答案是 {correct_answer}，你的答案必须与之不同。\n"
