@@ -160,12 +160,12 @@ def fit_ends(values: DataFrame, column: str = "value") -> EndModel:
 def longer_copies(values: DataFrame) -> DataFrame:
     """(pos, field) of rows of ``values`` (pos, field, value) whose value is a strict prefix of a longer value elsewhere.
 
-    Marks and blanks at the end of a value don't count. Values are range-partitioned and sorted, so hot values cost no
-    more than others: a distinct value is compared with its successor only. Of each partition just the first and the
+    Marks and blanks at the end of a value don't count. Distinct values are range-partitioned and sorted, so hot values
+    cost no more than others; each is compared with its successor only. Of each partition just the first and the
     last value meet their neighbours, on the driver.
     """
     rows = values.select("pos", "field", F.regexp_replace("value", r"[…�.\s]+$", "").alias("value")).where("value <> ''")
-    ordered = rows.select("value").repartitionByRange("value").sortWithinPartitions("value")
+    ordered = rows.select("value").distinct().repartitionByRange("value").sortWithinPartitions("value")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = last = None
