@@ -413,7 +413,7 @@ def head_limit(spark, d):
 def length_quantiles(spark, d):
     n = F.char_length("cot")
     q = lambda p: F.percentile(n, p)  # noqa: E731 - over distinct lengths with counts, so it combines before the shuffle
-    return _cot(spark, d).where("cot <> ''").groupBy(F.coalesce("answer_match", F.lit(False)).alias("matched")).agg(F.count("*").alias("n"), F.min(n).alias("shortest"), F.max(n).alias("longest"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"))
+    return _cot(spark, d).where("cot <> ''").groupBy(F.coalesce("answer_match", F.lit(False)).alias("matched")).agg(F.count("*").alias("n"), F.min(n).cast("bigint").alias("shortest"), F.max(n).cast("bigint").alias("longest"), q(0.1).alias("p10"), q(0.5).alias("median"), q(0.9).alias("p90"))
 
 
 @_query(f"SELECT doc_id, len(regexp_extract_all(text, '\\p{{Nd}}+\\.?\\p{{Nd}}*'))::INT AS numbers, {o.length_score('text')} AS length_score, {o.latex('text')} AS latex, {o.logic('text')} AS logic FROM documents WHERE text IS NOT NULL")
