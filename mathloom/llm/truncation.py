@@ -52,11 +52,11 @@ def cut_mark(text: str) -> bool:
 
 def number_cut(text: str) -> bool:
     """Ends in a number that is a strict prefix of the last number worked out before it and occurs nowhere else."""
-    m = _TAIL_NUMBER.search(text)
+    m = _TAIL_NUMBER.search(text[-40:])  # no number worked out is longer
     if not m:
         return False
-    before = _ALL_NUMBERS.findall(text[: m.start()])
     tail = m.group(1)
+    before = _ALL_NUMBERS.findall(text[: len(text) - len(tail)])
     return bool(before) and tail not in before and len(before[-1]) > len(tail) and before[-1].startswith(tail)
 
 
@@ -164,7 +164,7 @@ def longer_copies(values: DataFrame) -> DataFrame:
     cost no more than others; each is compared with its successor only. Of each partition just the first and the
     last value meet their neighbours, on the driver.
     """
-    rows = values.select("pos", "field", F.regexp_replace("value", r"[…�.\s]+$", "").alias("value")).where("value <> ''")
+    rows = values.select("pos", "field", F.rtrim("value", F.lit("…�. \t\r\n　")).alias("value")).where("value <> ''")
     ordered = rows.select("value").distinct().repartitionByRange("value").sortWithinPartitions("value")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
