@@ -25,12 +25,11 @@ from mathloom.sources.shared import materialize
 @dataclass(frozen=True)
 class Spam:
     """Parameters. Pairs seen in less than ``least_share`` of all neighbours are not in the broadcast table (so at most
-    1 / least_share are); they count as unassociated."""
+    1 / least_share are); they count as unassociated, with a PMI of 0."""
 
     half: float = 0.5
     least_share: float = 2e-6
     low_pmi: float = 8.0
-    least_known: float = 0.5
     least_words: int = 40
     clause: int = 8
     glue_chinese: float = 0.03
@@ -222,10 +221,8 @@ def line_kinds(rows: list[str], known: Associations, p: Spam = Spam()) -> tuple[
         of = w.line[w.left]
         some = ask[of]
         hit, pmi = known.lookup(w.pair[some])
-        seen = np.bincount(of[some], hit, len(rows))
-        mean = np.bincount(of[some], pmi * hit, len(rows)) / np.maximum(seen, 1)
-        share = seen / np.maximum(np.bincount(of[some], minlength=len(rows)), 1)
-        kind[ask & (share >= p.least_known) & (mean < p.low_pmi)] = 1
+        mean = np.bincount(of[some], pmi * hit, len(rows)) / np.maximum(np.bincount(of[some], minlength=len(rows)), 1)
+        kind[ask & (mean < p.low_pmi)] = 1
     return kind, whole
 
 

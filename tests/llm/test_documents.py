@@ -110,6 +110,16 @@ def test_spam(known, name):
     assert spam.spam_share(LISTS[name] + "\n这里有一句话，说明如何把题目读完整。", known) > 0.5
 
 
+def test_unknown_pairs_are_unassociated():
+    """Keywords that are rarely joined have no pair in the table."""
+    none = spam.Associations(spam.Words([]).pair, spam.Words([]).pair.astype(float))
+    rng = random.Random(5)
+    listed = " | ".join("".join(rng.choices("柿椿栗溪银茶桥泰桃雁松铜", k=2)) + rng.choice(["期末卷", "练习册", "登录", "首页", "速算"]) for _ in range(30))
+    assert spam.spam_share(listed, none) > 0.5
+    assert spam.spam_share("这里有一句话，说明如何把题目读完整。\n" + listed, none) > 0.5
+    assert spam.spam_share(SENTENCES, none) == 0
+
+
 @pytest.mark.parametrize("name", TEXTS)
 def test_no_spam(known, name):
     assert spam.spam_share(TEXTS[name], known) <= 0.5
