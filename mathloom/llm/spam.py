@@ -1,8 +1,8 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
 Corpus counts of words and of neighbouring words give each pair of neighbours its pointwise mutual information. A line
-of a page is judged by the mean of it over its neighbours, by the share of its collocations that merely repeat, by the
-glue of sentences it holds (function words) and by links. A page is spam if more than half of it is spam lines.
+of a page is judged by the mean of it over its neighbours together with the glue of sentences it holds (function
+words), by the share of its collocations that merely repeat and by links. A page is spam if more than half of it is spam lines.
 
 A Chinese character counts as a word, a run of other letters as one, all numbers as one; links are words of one kind.
 """
@@ -25,11 +25,13 @@ from mathloom.sources.shared import materialize
 @dataclass(frozen=True)
 class Spam:
     """Parameters. Pairs seen in less than ``least_share`` of all neighbours are not in the broadcast table (so at most
-    1 / least_share are); they count as unassociated, with a PMI of 0."""
+    1 / least_share are); they count as unassociated, with a PMI of 0. A line is spam if its mean PMI is under
+    ``low_chinese`` or ``low_latin`` (by the letters it has more of) less the part of its glue in what a text has."""
 
     half: float = 0.5
     least_share: float = 2e-6
-    low_pmi: float = 8.0
+    low_chinese: float = 5.5
+    low_latin: float = 8.5
     least_words: int = 40
     clause: int = 8
     glue_chinese: float = 0.03
@@ -200,7 +202,10 @@ def line_kinds(rows: list[str], known: Associations, p: Spam = Spam()) -> tuple[
     glue_c = w.per_line((w.kind == 1) & t.glue_chinese[w.first])
     at = np.minimum(np.searchsorted(t.glue_latin, w.code), len(t.glue_latin) - 1)
     glue_l = w.per_line((w.kind == 2) & (t.glue_latin[at] == w.code))
-    glue = np.where(latin > chinese, glue_l >= np.maximum(1, p.glue_latin * latin), (chinese > 0) & (glue_c >= np.maximum(1, p.glue_chinese * chinese)))
+    # share of the glue that a text has at least, and the highest mean PMI of a list
+    glued = np.where(latin > chinese, glue_l / np.maximum(1, p.glue_latin * latin), glue_c / np.maximum(1, p.glue_chinese * chinese))
+    low = np.where(latin > chinese, p.low_latin, p.low_chinese)
+    glue = glued >= 1
     kind = np.zeros(len(rows), np.int8)
     links = (whole - w.bare > w.bare) & ~(glue & (w.bare > 30))
     kind[links] = 1
@@ -222,7 +227,7 @@ def line_kinds(rows: list[str], known: Associations, p: Spam = Spam()) -> tuple[
         some = ask[of]
         hit, pmi = known.lookup(w.pair[some])
         mean = np.bincount(of[some], pmi * hit, len(rows)) / np.maximum(np.bincount(of[some], minlength=len(rows)), 1)
-        kind[ask & (mean < p.low_pmi)] = 1
+        kind[ask & (mean < low * (1 - glued))] = 1
     return kind, whole
 
 

@@ -120,6 +120,18 @@ def test_unknown_pairs_are_unassociated():
     assert spam.spam_share(SENTENCES, none) == 0
 
 
+def test_mean_pmi_decides():
+    """A line with some glue, though less than texts have, is spam only if its neighbours are not associated."""
+    line = "银桥 期末卷 泰桃 练习册 雁松 首页 铜柏 速算 鹭港 登录 苇岭 课件 和 霜梨 真题 坪荷 教案 云栗 网课 芦雪 真题"
+    words = spam.Words([line])
+    pairs = __import__("numpy").unique(words.pair)
+    joined = lambda pmi: spam.Associations(pairs, pmi + 0.0 * pairs)
+    assert spam.spam_share(line, joined(1.0)) == 1
+    assert spam.spam_share(line, joined(4.0)) == 0
+    bare = line.replace("和 ", "")
+    assert spam.spam_share(bare, joined(4.0)) == 1 and spam.spam_share(bare, joined(7.0)) == 0
+
+
 @pytest.mark.parametrize("name", TEXTS)
 def test_no_spam(known, name):
     assert spam.spam_share(TEXTS[name], known) <= 0.5
