@@ -37,6 +37,10 @@ _REFUSAL = re.compile(
 _WORKED = re.compile(r"[0-9}）)][^\W\d]{0,3}\s*(?:[×÷+*=]|-(?=[0-9])|\\times|\\div)\s*[0-9（(\\]|=\s*[0-9\\]")
 _DIGIT = re.compile("[0-9]")
 _RESULT = re.compile(r"(?:答案|结果|得到|应填|答)\D{0,4}[0-9]")
+# A number announced as the result; the last number at the end of a value; all numbers.
+_FINAL = re.compile(r"(?:答案|应填|最终|最后得到|得出结果|综上|答[:：]|answer is)[^0-9。！!]{0,10}[0-9][0-9./%:{}]*+(?![^0-9，。；,;！!]{0,8}[=＝×÷+*/-])", re.IGNORECASE)
+_LAST_NUMBER = re.compile(r"([0-9]+(?:[./:][0-9]+)*)[^0-9=＝×÷+*/-]{0,8}$")
+_NUMBERS = re.compile(r"[0-9]+(?:[./:][0-9]+)*")
 _ANSWER = re.compile(r"^[^\w]*[0-9]+(?:[.:/][0-9]+)*(?:%|[^\W\d]{1,4}[23]?)?[。.！!]?$")
 
 
@@ -166,13 +170,35 @@ def defects(cot: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def breaks_off(value: str, longer: str) -> bool:
+    """Whether a strict prefix of ``longer`` breaks off: what follows is more than marks, and it has no result yet.
+
+    A result is a number announced as the result, or the last number of the longer value, at the end of the prefix.
+    """
+    plain, rest = pf.fold_text(value).rstrip(), pf.fold_text(longer[len(value) :])
+    if is_nothing(plain) or not re.search(r"\w", rest):
+        return False
+    if re.search(r"[0-9]$", plain) and re.match(r"[./:]?[0-9]", rest):
+        return True  # within a number
+    if _FINAL.search(plain):
+        return False
+    own, last = _LAST_NUMBER.search(plain[-60:]), _NUMBERS.findall(rest)
+    return own is None or bool(last) and last[-1] != own.group(1)
+
+
 def truncated(cot: DataFrame) -> DataFrame:
     """(pos, field, longer_copy): truncated values of cot and wrong_cot, and whether a longer copy is in the table.
 
-    A value with a longer copy elsewhere breaks off unless it has its result (the longer copy then merely goes on);
-    values without one are judged by their end.
+    A value with a longer copy elsewhere breaks off unless it has its result (the longer copy then merely goes on), is
+    empty, a refusal, a copy of the question or in another language; besides, values are judged by their end.
     """
-    found = defects(cot, ("cot", "wrong_cot")).where("defect = 'truncated'").select("pos", "field")
+    found = defects(cot, ("cot", "wrong_cot"))
     values = cot.select("pos", F.explode(F.map_from_arrays(F.array(F.lit("cot"), F.lit("wrong_cot")), F.array("cot", "wrong_cot"))).alias("field", "value")).where("value IS NOT NULL")
-    copies = truncation.longer_copies(values).withColumn("longer_copy", F.lit(True))
-    return found.join(copies, ["pos", "field"], "left").withColumn("longer_copy", F.coalesce("longer_copy", F.lit(False)))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["pos", "field"]].assign(longer_copy=True, cut=[breaks_off(v, w) for v, w in zip(b["value"], b["longer"])])
+
+    copies = truncation.prefixes(values).where("pos IS NOT NULL").mapInPandas(check, "pos bigint, field string, longer_copy boolean, cut boolean")
+    both = found.join(copies, ["pos", "field"], "full").where("defect = 'truncated' OR defect IS NULL AND cut")
+    return both.select("pos", "field", F.coalesce("longer_copy", F.lit(False)).alias("longer_copy"))

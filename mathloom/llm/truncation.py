@@ -157,8 +157,9 @@ def fit_ends(values: DataFrame, column: str = "value") -> EndModel:
     return EndModel(codes[enough], n_end[enough] / n_any[enough], n_near[enough] / n_any[enough])
 
 
-def longer_copies(values: DataFrame) -> DataFrame:
-    """(pos, field) of rows of ``values`` (pos, field, value) whose value is a strict prefix of a longer value elsewhere.
+def prefixes(values: DataFrame) -> DataFrame:
+    """(pos, field, value, longer) of rows of ``values`` (pos, field, value) whose value is a strict prefix of a longer
+    value elsewhere; ``longer`` is one that goes on no further.
 
     Marks and blanks at the end of a value don't count. Distinct values are range-partitioned and sorted, so hot values
     cost no more than others; each is compared with its successor only. Of each partition just the first and the
@@ -168,7 +169,8 @@ def longer_copies(values: DataFrame) -> DataFrame:
     ordered = rows.select("value").distinct().repartitionByRange("value").sortWithinPartitions("value")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
+        first = last = leaf = None
+        chain: list[str] = []  # values each a prefix of the next and of ``last``; they are as few as a value has characters
         for b in batches:
             found = []
             for v in b["value"]:
@@ -176,17 +178,34 @@ def longer_copies(values: DataFrame) -> DataFrame:
                     if last is None:
                         first = v
                     elif v.startswith(last):
-                        found.append(last)
+                        chain.append(last)
+                    else:
+                        leaf = last if leaf is None else leaf
+                        found += [(c, last) for c in chain]
+                        chain = []
                     last = v
             if found:
-                yield pd.DataFrame({"value": found, "first": None, "last": None}, dtype=object)
+                yield pd.DataFrame(found, columns=["value", "longer"], dtype=object).assign(first=None, last=None)
         if last is not None:
-            yield pd.DataFrame({"value": None, "first": [first], "last": [last]}, dtype=object)
-
-    scanned = materialize(ordered.mapInPandas(scan, "value string, first string, last string"), "prefixes")
-    edges = scanned.where("value IS NULL").orderBy("first").select("first", "last").collect()  # one row a partition
-    over = [(a["last"],) for a, b in zip(edges, edges[1:]) if b["first"].startswith(a["last"])]
-    cut = scanned.where("value IS NOT NULL").select("value")
+            if chain:
+                yield pd.DataFrame([(c, last) for c in chain], columns=["value", "longer"], dtype=object).assign(first=None, last=None)
+            # of an edge, ``longer`` is what the first value's chain ends with
+            yield pd.DataFrame({"value": None, "longer": [leaf or last], "first": [first], "last": [last]}, dtype=object)
+
+    scanned = materialize(ordered.mapInPandas(scan, "value string, longer string, first string, last string"), "prefixes")
+    edges = scanned.where("value IS NULL").orderBy("first").select("first", "last", "longer").collect()  # one row a partition
+    over: dict[str, str] = {}
+    for a, b in reversed(list(zip(edges, edges[1:]))):
+        if b["first"].startswith(a["last"]):
+            over[a["last"]] = over.get(b["longer"], b["longer"])
+    cut = scanned.where("value IS NOT NULL").select("value", "longer")
     if over:
-        cut = cut.unionByName(values.sparkSession.createDataFrame(over, "value string"))
-    return rows.join(cut.distinct(), "value", "left_semi").select("pos", "field").distinct()
+        further = values.sparkSession.createDataFrame(list(over.items()), "longer string, further string")
+        cut = cut.join(F.broadcast(further), "longer", "left").select("value", F.coalesce("further", "longer").alias("longer"))
+        cut = cut.unionByName(further.select(F.col("longer").alias("value"), F.col("further").alias("longer")))
+    return rows.join(cut, "value").select("pos", "field", "value", "longer").distinct()
+
+
+def longer_copies(values: DataFrame) -> DataFrame:
+    """(pos, field) of rows of ``values`` that are strict prefixes."""
+    return prefixes(values).select("pos", "field").distinct()

@@ -66,6 +66,38 @@ def test_truncated_query(spark):
     assert [tuple(r) for r in m.truncated(table).collect()] == [(30, "cot", True)]
 
 
+def test_longer_copies_add_rows(spark):
+    """A strict prefix may end as whole values do: its longer copy shows that it breaks off, unless it has its result."""
+    sound = "甲店卖12份，每份21元，一共12×21=252元"
+    cut, whole = "先算总价：16×16=256元", "先算总价：16×16=256元，再加一倍，一共256×2=512元"
+    done = GOOD[:-1] + "，加一倍，一共256×2=512元"
+    table = rows(spark, *[(sound, "252", GOOD, "scdpo")] * 30, (cut, "64", None, None), (whole, "64", cut, "scdpo"), (GOOD[:-1], "256", None, None), (done, "256", None, None), ("无", "1", None, None), ("无论怎样，16×16=256元", "1", None, None))
+    got = {(r["pos"], r["field"]): r["longer_copy"] for r in m.truncated(table).collect()}
+    assert got.get((30, "cot")) and got.get((31, "wrong_cot"))
+    assert not {(0, "cot"), (31, "cot"), (32, "cot"), (34, "cot"), (34, "wrong_cot")} & got.keys()
+
+
+@pytest.mark.parametrize("value, longer, cut", [("16×16=256元", "16×16=256元，256÷4=64", True), ("得64", "得640元", True), ("16×4=64元", "16×4=64元。答案是64", False), ("答案是64元", "答案是64元，验算64÷4=16", False), ("得64", "得64。”", False), ("先算", "先算16×4=64", True), ("答案：1/2", "答案：1/20", True)])
+def test_breaks_off(value, longer, cut):
+    assert m.breaks_off(value, longer) is cut
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_prefixes_go_on_to_the_longest(spark, parts):
+    """Chains of prefixes, also over the bounds of partitions."""
+    words = ["甲" * k for k in range(1, 40)] + ["乙", "乙丙"]
+    values = spark.createDataFrame([(i, "f", v) for i, v in enumerate(words)], "pos bigint, field string, value string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["value"]: r["longer"] for r in truncation.prefixes(values).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert got == {w: words[38] for w in words[:38]} | {"乙": "乙丙"}
+
+
 def test_hashes_of_ends_agree():
     texts = ["abcdefghij", "xy", "答案是0"]
     for order in truncation.ORDERS:
