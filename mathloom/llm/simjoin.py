@@ -6,7 +6,10 @@ meet in a child with a probability that grows with their similarity.  Small node
 ones branch again, and independent trials (coordinates of the first level) bring the recall to its target.
 
 Minwise tokens are selected among tokens that are not common (document frequency under ``theta`` of all records):
-shared templates then no longer pull unrelated records into one node.  The list of common tokens is the only thing
+shared templates then no longer pull unrelated records into one node.  Records that may have pairs with which they
+share few rare tokens or none, those of which at most ``poor`` of the tokens are rare, also walk down from
+``whole_trials`` coordinates over all their tokens.  (A record shares all but 1 - threshold of its tokens with any similar
+one, so one with more rare tokens than that shares some of them.)  The list of common tokens is the only thing
 broadcast; as records have a bounded mean length L, at most L / theta tokens can be common at any data size.
 """
 
@@ -41,6 +44,8 @@ class PathJoin:
     theta: float = 5e-4
     least_common: int = 20
     least_rare: int = 6
+    poor: float = 0.6
+    whole_trials: int = 8
     sketch_slack: float = 3.2
 
 
@@ -81,18 +86,17 @@ def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> np.ndarray:
     return np.sort(found.toPandas()["code"].to_numpy(np.int64).view(np.uint64))
 
 
-def _rare(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that are not common; all tokens of a record with fewer than ``least`` such."""
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    if len(common):
-        at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
-        rare = common[at] != codes
-    else:
-        rare = np.ones(len(codes), bool)
-    few = np.bincount(doc[rare], minlength=len(offsets) - 1) < least
-    keep = rare | few[doc]
-    out = np.zeros(len(offsets), np.int64)
-    np.cumsum(np.bincount(doc[keep], minlength=len(offsets) - 1), out=out[1:])
+def _rare(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether each token is not common."""
+    if not len(common):
+        return np.ones(len(codes), bool)
+    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+    return common[at] != codes
+
+
+def _kept(codes: np.ndarray, keep: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros(n + 1, np.int64)
+    np.cumsum(np.bincount(doc[keep], minlength=n), out=out[1:])
     return codes[keep], out
 
 
@@ -112,21 +116,34 @@ def _sketch(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _children(rows: pd.DataFrame, common: np.ndarray, p: PathJoin, level: int) -> pd.DataFrame:
-    """Rows of the next level: (node, rep, s0, s1) for each row (node, rep, plain)."""
+    """Rows of the next level: (node, rep, s0, s1) for each row (node, rep, plain). Nodes over all tokens are odd."""
     codes, offsets = trigrams(rows["plain"].tolist())
     s0, s1 = _sketch(codes, offsets)
-    rare, at = _rare(codes, offsets, common, p.least_rare)
-    h = mix(rare)
-    parent = rows["node"].to_numpy(np.int64).view(np.uint64) if level else np.zeros(len(rows), np.uint64)
+    n = len(rows)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    rare = _rare(codes, offsets, common)
+    n_rare, n_all = np.bincount(doc[rare], minlength=n), np.diff(offsets)
+    few = n_rare < p.least_rare  # such a record has too few to choose from
+    parent = rows["node"].to_numpy(np.int64).view(np.uint64) if level else np.zeros(n, np.uint64)
+    if level:
+        ways = [((parent & np.uint64(1)) == 1, True, p.branch), ((parent & np.uint64(1)) == 0, False, p.branch)]
+    else:
+        ways = [(np.ones(n, bool), False, p.trials), (n_rare <= p.poor * n_all, True, p.whole_trials)]
     out = []
-    for i in range(p.branch if level else p.trials):
-        seed = np.uint64((level * 64 + i + 1) * _GOLD & _EMPTY)
-        if level:  # a node draws its own coordinates
-            own = np.repeat(mix(parent ^ seed), np.diff(at))
-            low = segment_min(mix(h ^ own), at, _EMPTY)
-        else:
-            low = segment_min(mix(h ^ mix(np.array([seed]))[0]), at, _EMPTY)
-        out.append(pd.DataFrame({"node": mix(low ^ mix(parent + seed)).view(np.int64), "rep": rows["rep"].to_numpy(), "s0": s0.view(np.int64), "s1": s1.view(np.int64)}))
+    for who, whole, times in ways:
+        if not who.any():
+            continue
+        chosen, at = _kept(codes, who[doc] & (whole | rare | few[doc]), doc, n)
+        h = mix(chosen)
+        for i in range(times):
+            seed = np.uint64((level * 64 + i + 1 + (32 if whole else 0)) * _GOLD & _EMPTY)
+            if level:  # a node draws its own coordinates
+                own = np.repeat(mix(parent ^ seed), np.diff(at))
+                low = segment_min(mix(h ^ own), at, _EMPTY)
+            else:
+                low = segment_min(mix(h ^ mix(np.array([seed]))[0]), at, _EMPTY)
+            node = (mix(low ^ mix(parent + seed)) & np.uint64(_EMPTY - 1)) | np.uint64(whole)
+            out.append(pd.DataFrame({"node": node.view(np.int64), "rep": rows["rep"].to_numpy(), "s0": s0.view(np.int64), "s1": s1.view(np.int64)})[who])
     return pd.concat(out, ignore_index=True)
 
 
