@@ -5,12 +5,14 @@ one child per chosen coordinate, namely the child of its minwise token under tha
 meet in a child with a probability that grows with their similarity.  Small nodes are compared exhaustively, larger
 ones branch again, and independent trials (coordinates of the first level) bring the recall to its target.
 
-Minwise tokens are selected among tokens that are not common (document frequency under ``theta`` of all records):
-shared templates then no longer pull unrelated records into one node.  Records that may have pairs with which they
-share few rare tokens or none, those of which at most ``poor`` of the tokens are rare, also walk down from
-``whole_trials`` coordinates over all their tokens.  (A record shares all but 1 - threshold of its tokens with any similar
-one, so one with more rare tokens than that shares some of them.)  The list of common tokens is the only thing
-broadcast; as records have a bounded mean length L, at most L / theta tokens can be common at any data size.
+Minwise tokens are chosen by weight, as skewed tokens ask for: a token in a share f of all records weighs
+min(1, (theta / f) ** skew).  Two records meet with their weighted similarity: shared templates seldom pull unrelated
+records into one node, and near copies that share common tokens only still meet, as nothing is barred.  The table of
+the common tokens' weights is the only thing broadcast; as records have a bounded mean length L, at most L / theta
+tokens can be common at any data size.
+
+Records that met are sifted by odd sketches (the parities of their tokens in 128 bins): they differ in at most as many
+bins as the sets differ in tokens, so the sift loses no pair.
 """
 
 from __future__ import annotations
@@ -38,15 +40,12 @@ class PathJoin:
 
     threshold: float = 0.6
     trials: int = 20
-    branch: int = 3
-    node_limit: int = 1024
+    branch: int = 2
+    node_limit: int = 512
     depth: int = 6
-    theta: float = 5e-4
+    theta: float = 2e-4
     least_common: int = 20
-    least_rare: int = 6
-    poor: float = 0.6
-    whole_trials: int = 8
-    sketch_slack: float = 3.2
+    skew: float = 0.5
 
 
 def plain_records(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,110 +64,134 @@ def plain_records(df: DataFrame, key: str, text: str) -> DataFrame:
     return src.mapInPandas(run, "key bigint, plain string").select("key", F.xxhash64("plain").alias("rep"), "plain")
 
 
-def representatives(records: DataFrame) -> DataFrame:
-    """One row a distinct text: (rep, plain)."""
-    return records.groupBy("rep").agg(F.first("plain").alias("plain"))
+def representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, one row a distinct text (rep, plain)), where no two texts share a rep: the class id is checked against
+    the text, and of texts whose hashes clash all but one get another."""
+    for seed in range(1, 9):
+        reps = materialize(records.groupBy("rep").agg(F.min("plain").alias("plain"), F.max("plain").alias("last")), "representatives")
+        clash = reps.where("plain <> last").select("rep", F.col("plain").alias("keep"))
+        if clash.isEmpty():
+            break
+        other = F.when(F.col("keep") != F.col("plain"), F.xxhash64("plain", F.lit(seed))).otherwise(F.col("rep"))
+        records = records.join(clash, "rep", "left").withColumn("rep", other).drop("keep")
+    return records, reps.select("rep", "plain")
 
 
-def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> np.ndarray:
-    """Sorted codes of tokens in at least max(theta * n, least_common) records: at most mean length / theta codes.
+@dataclass(frozen=True)
+class Common:
+    """Sorted codes of the common tokens and one over each one's weight."""
 
-    Tokens that a partition met once are left out, so a count may be a little short; it only steers the choice of
-    tokens, never a result.
-    """
+    codes: np.ndarray
+    inverse: np.ndarray
+
+    def factors(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.ones(len(codes))
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.inverse[at], 1.0)
+
+
+def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> Common:
+    """Tokens in at least max(theta * n, least_common) records: at most mean length / theta codes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for codes, counts in counted(trigrams(b["plain"].tolist())[0] for b in batches):
             yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
 
-    least = max(p.theta * n, p.least_common)
-    found = reps.select("plain").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(float(least))).select("code")
-    return np.sort(found.toPandas()["code"].to_numpy(np.int64).view(np.uint64))
+    least = float(max(p.theta * n, p.least_common))
+    found = reps.select("plain").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least)).toPandas()
+    codes = found["code"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    return Common(codes[order], (found["n"].to_numpy(float)[order] / least) ** p.skew)
 
 
-def _rare(codes: np.ndarray, offsets: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Whether each token is not common."""
-    if not len(common):
-        return np.ones(len(codes), bool)
-    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
-    return common[at] != codes
+_SIZES = np.uint64(0xFFFF)
+_BINS = 128
 
 
-def _kept(codes: np.ndarray, keep: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = np.zeros(n + 1, np.int64)
-    np.cumsum(np.bincount(doc[keep], minlength=n), out=out[1:])
-    return codes[keep], out
+def _thinned(sizes: np.ndarray) -> np.ndarray:
+    """How often a record's tokens are halved for its sketch, so that the bins don't fill up."""
+    return np.floor(np.log2(np.maximum(sizes, 96) / 96)).astype(np.int64)
 
 
-def _sketch(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 one-bit minwise hashes of each record, as two integers."""
-    h = mix(codes)
-    words = []
-    for w in range(2):
-        bits = np.zeros(len(offsets) - 1, np.uint64)
-        for i in range(64):
-            # one multiplication and a shift suffice to reorder hashes that are already mixed
-            k = np.uint64(((64 * w + i) * 2 + 1) * _GOLD & _EMPTY)
-            low = segment_min(((h * k) ^ (h >> np.uint64(29))) * k, offsets, _EMPTY)
-            bits |= ((low >> np.uint64(7)) & np.uint64(1)) << np.uint64(i)
-        words.append(bits)
-    return words[0], words[1]
-
-
-def _children(rows: pd.DataFrame, common: np.ndarray, p: PathJoin, level: int) -> pd.DataFrame:
-    """Rows of the next level: (node, rep, s0, s1) for each row (node, rep, plain). Nodes over all tokens are odd."""
+def sketches(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Odd sketch of each record, two integers: bit b tells whether an odd number of its tokens falls into bin b."""
+    n = len(sizes)
+    keep = (h & ((np.uint64(1) << _thinned(sizes).astype(np.uint64)) - np.uint64(1))[doc]) == 0
+    at = doc[keep] * _BINS + ((h[keep] >> np.uint64(40)) & np.uint64(_BINS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * _BINS) & 1).astype(np.uint8).reshape(n, _BINS)
+    return np.packbits(odd, axis=1).view(np.uint64).reshape(n, 2)
+
+
+def may_be_similar(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches and sizes allow the threshold. Unthinned sketches never err; thinned ones by chance, at four
+    standard deviations; sketches thinned unlike each other tell nothing."""
+    most = (na + nb) * ((1 - threshold) / (1 + threshold))
+    ta, tb = _thinned(na), _thinned(nb)
+    mean = most / 2.0**ta
+    limit = np.where(ta > 0, mean + 4 * np.sqrt(mean) + 1, most)
+    fits = np.minimum(na, nb) >= threshold * np.maximum(na, nb)
+    apart = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
+    return fits & ((apart <= limit + 1e-9) | (ta != tb))
+
+
+def _children(rows: pd.DataFrame, common: Common, p: PathJoin, level: int) -> pd.DataFrame:
+    """Rows of the next level: (node, rep, s0, s1) for each node of each row (nodes, rep, plain).
+
+    The low 16 bits of a node hold the record's number of tokens, its high ones say which node it is."""
     codes, offsets = trigrams(rows["plain"].tolist())
-    s0, s1 = _sketch(codes, offsets)
-    n = len(rows)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    rare = _rare(codes, offsets, common)
-    n_rare, n_all = np.bincount(doc[rare], minlength=n), np.diff(offsets)
-    few = n_rare < p.least_rare  # such a record has too few to choose from
-    parent = rows["node"].to_numpy(np.int64).view(np.uint64) if level else np.zeros(n, np.uint64)
-    if level:
-        ways = [((parent & np.uint64(1)) == 1, True, p.branch), ((parent & np.uint64(1)) == 0, False, p.branch)]
-    else:
-        ways = [(np.ones(n, bool), False, p.trials), (n_rare <= p.poor * n_all, True, p.whole_trials)]
+    n, sizes = len(rows), np.diff(offsets)
+    doc = np.repeat(np.arange(n), sizes)
+    h = mix(codes)
+    sketch = sketches(h, doc, sizes).view(np.int64)
+    size = np.minimum(sizes, 0xFFFF).astype(np.uint64)
+    h ^= h >> np.uint64(29)
+    weight = common.factors(codes)
+    reps = rows["rep"].to_numpy()
     out = []
-    for who, whole, times in ways:
-        if not who.any():
-            continue
-        chosen, at = _kept(codes, who[doc] & (whole | rare | few[doc]), doc, n)
-        h = mix(chosen)
-        for i in range(times):
-            seed = np.uint64((level * 64 + i + 1 + (32 if whole else 0)) * _GOLD & _EMPTY)
-            if level:  # a node draws its own coordinates
-                own = np.repeat(mix(parent ^ seed), np.diff(at))
-                low = segment_min(mix(h ^ own), at, _EMPTY)
-            else:
-                low = segment_min(mix(h ^ mix(np.array([seed]))[0]), at, _EMPTY)
-            node = (mix(low ^ mix(parent + seed)) & np.uint64(_EMPTY - 1)) | np.uint64(whole)
-            out.append(pd.DataFrame({"node": node.view(np.int64), "rep": rows["rep"].to_numpy(), "s0": s0.view(np.int64), "s1": s1.view(np.int64)})[who])
-    return pd.concat(out, ignore_index=True)
 
-
-def _agreeing(p: PathJoin) -> int:
-    """Least number of agreeing sketch bits: the mean at the threshold less some standard deviations."""
-    q = (1 + p.threshold) / 2
-    return int(128 * q - p.sketch_slack * (128 * q * (1 - q)) ** 0.5)
+    def give(low: np.ndarray, parent: np.ndarray, seed: np.uint64, who: np.ndarray) -> None:
+        node = (mix(low.view(np.uint64) ^ mix(parent + seed)) & ~_SIZES) | size[who]
+        out.append(pd.DataFrame({"node": node.view(np.int64), "rep": reps[who], "s0": sketch[who, 0], "s1": sketch[who, 1]}))
+
+    if level:  # a node draws its own coordinates
+        nodes = rows["nodes"].tolist()
+        who = np.repeat(np.arange(n), np.fromiter(map(len, nodes), dtype=np.int64, count=n))
+        parent = np.concatenate(nodes).astype(np.int64).view(np.uint64) if n else np.zeros(0, np.uint64)
+        k = sizes[who]
+        at = np.repeat(offsets[who] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        bounds = np.r_[0, np.cumsum(k)]
+        for i in range(p.branch):
+            seed = np.uint64((level * 64 + i + 1) * _GOLD & _EMPTY)
+            own = np.repeat(mix(parent ^ seed) | np.uint64(1), k)
+            give(segment_min((h[at] * own).astype(np.float64) * weight[at], bounds, np.inf), parent, seed, who)
+    else:
+        zero, every = np.zeros(n, np.uint64), np.arange(n)
+        for i in range(p.trials):
+            seed = np.uint64((2 * i + 1) * _GOLD & _EMPTY)
+            give(segment_min((h * seed).astype(np.float64) * weight, offsets, np.inf), zero, seed, every)
+    return pd.concat(out, ignore_index=True)
 
 
 def _compare(p: PathJoin, last: bool):
-    """Over rows sorted by node: pairs of small nodes that pass the sketches (a, b), rows of large ones (node, rep)."""
-    least = _agreeing(p)
+    """Over rows sorted by node: pairs of small nodes that pass the sift (a, b), rows of large ones (node, rep)."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        node, rep = rows["node"].to_numpy(), rows["rep"].to_numpy()
+        whole = rows["node"].to_numpy().view(np.uint64)
+        node, rep = whole >> np.uint64(16), rows["rep"].to_numpy()
+        size = (whole & _SIZES).astype(np.int64)
         s = rows[["s0", "s1"]].to_numpy().view(np.uint64)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, len(rows)):
-            i = np.flatnonzero(node[:-d] == node[d:])
+        i, d = np.arange(len(rows)), 1
+        while True:
+            i = i[: np.searchsorted(i, len(rows) - d)]
+            i = i[node[i] == node[i + d]]
             if not len(i):
                 break
-            same = 128 - np.bitwise_count(s[i] ^ s[i + d]).sum(1, dtype=np.int64)
-            i = i[(same >= least) & (rep[i] != rep[i + d])]
-            left.append(np.minimum(rep[i], rep[i + d]))
-            right.append(np.maximum(rep[i], rep[i + d]))
+            keep = i[may_be_similar(s[i], s[i + d], size[i], size[i + d], p.threshold) & (rep[i] != rep[i + d])]
+            left.append(np.minimum(rep[keep], rep[keep + d]))
+            right.append(np.maximum(rep[keep], rep[keep + d]))
+            d += 1
         out = pd.DataFrame({"node": None, "a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
         return out.astype({"node": "Int64"})
 
@@ -178,7 +201,7 @@ def _compare(p: PathJoin, last: bool):
         for b in batches:
             if held is not None and len(held):
                 b = pd.concat([held, b], ignore_index=True)
-            node = b["node"].to_numpy()
+            node = b["node"].to_numpy() >> 16
             start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
             size = np.diff(np.r_[start, len(b)])
             over = (size > p.node_limit) | (node[start] == large if large is not None else False)
@@ -204,7 +227,8 @@ def candidate_pairs(reps: DataFrame, p: PathJoin) -> DataFrame:
     n = reps.count()
     common = reps.sparkSession.sparkContext.broadcast(common_tokens(reps, n, p))
     found = None
-    rows = reps.select(F.lit(None).cast("bigint").alias("node"), "rep", "plain")
+    rows = reps.where(F.char_length("plain") >= 3).select("rep", "plain")  # shorter ones have no token and no pair
+    which = F.shiftright("node", 16)
     for level in range(p.depth + 1):
 
         def branch(batches: Iterator[pd.DataFrame], level: int = level) -> Iterator[pd.DataFrame]:
@@ -216,23 +240,29 @@ def candidate_pairs(reps: DataFrame, p: PathJoin) -> DataFrame:
         nodes = rows.mapInPandas(branch, "node bigint, rep bigint, s0 bigint, s1 bigint")
         if last:  # exhaustively, in blocks: every two blocks of a node meet in one task
             return found.unionByName(_blocks(nodes, p)).distinct() if found is not None else _blocks(nodes, p).distinct()
-        met = materialize(nodes.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(p, False), "node bigint, a bigint, b bigint"), f"paths{level}")
+        met = materialize(nodes.repartition(which).sortWithinPartitions("node").mapInPandas(_compare(p, False), "node bigint, a bigint, b bigint"), f"paths{level}")
         pairs = met.where("b IS NOT NULL").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-        deeper = met.where("b IS NULL").select("node", F.col("a").alias("rep")).distinct()
+        deeper = met.where("b IS NULL").select(F.shiftleft(which, 16).alias("node"), F.col("a").alias("rep"))
         if deeper.isEmpty():
             return found.distinct()
-        rows = deeper.join(reps, "rep").select("node", "rep", "plain")
+        # each text goes along once, with all its nodes: trials times branches at most
+        rows = deeper.groupBy("rep").agg(F.collect_set("node").alias("nodes")).join(reps, "rep").select("nodes", "rep", "plain")
     return found.distinct()
 
 
 def _blocks(nodes: DataFrame, p: PathJoin) -> DataFrame:
-    """Exact way for nodes that no branching made small: blocks of about node_limit rows, each pair of blocks a group."""
-    size = nodes.groupBy("node").agg(F.ceil(F.count("*") / p.node_limit).alias("k"))
-    rows = nodes.join(size, "node").withColumn("block", F.pmod(F.xxhash64("rep"), "k"))
+    """Exact way for nodes that no branching made small: blocks of about node_limit rows, each pair of blocks a group.
+
+    Each row goes to as many groups as its node has blocks; records that stay together through ``depth`` levels are
+    near copies, so this is less than the pairs they form by a factor of node_limit."""
+    which = F.shiftright("node", 16)
+    size = nodes.groupBy(which.alias("which")).agg(F.ceil(F.count("*") / p.node_limit).alias("k"))
+    rows = nodes.withColumn("which", which).join(size, "which").withColumn("block", F.pmod(F.xxhash64("rep"), "k"))
     other = F.explode(F.expr("sequence(0L, k - 1)")).alias("other")
-    rows = rows.select("*", other).select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep", "s0", "s1")
-    return rows.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(p, True), "node bigint, a bigint, b bigint").select("a", "b")
+    group = F.shiftleft(F.xxhash64("which", F.least("block", "other"), F.greatest("block", "other")), 16).bitwiseOR(F.col("node").bitwiseAND(F.lit(0xFFFF)))
+    rows = rows.select("*", other).select(group.alias("node"), "rep", "s0", "s1")
+    return rows.repartition(which).sortWithinPartitions("node").mapInPandas(_compare(p, True), "node bigint, a bigint, b bigint").select("a", "b")
 
 
 def similar_pairs(reps: DataFrame, p: PathJoin = PathJoin()) -> DataFrame:
@@ -256,8 +286,7 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "question", p: P
     Null or blank texts take no part; repeated rows of a key count once; extra columns are not looked at; an empty
     table gives two empty tables. Texts under three letters have no trigram and are similar to equal texts only.
     """
-    records = plain_records(df, key, text)
-    reps = materialize(representatives(records), "representatives")
+    records, reps = representatives(plain_records(df, key, text))
     return similar_pairs(reps, p), records.select("key", "rep").distinct()
 
 
