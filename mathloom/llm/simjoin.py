@@ -3,7 +3,9 @@
 Records are sets of character trigrams of their plain form.  A record walks down a tree: at each node it is sent to
 one child per chosen coordinate, namely the child of its minwise token under that coordinate's hash, so two records
 meet in a child with a probability that grows with their similarity.  Small nodes are compared exhaustively, larger
-ones branch again, and independent trials (coordinates of the first level) bring the recall to its target.
+ones branch again, and independent trials (coordinates of the first level) bring the recall to its target.  The
+frequencies of a path's tokens tell beforehand that its node will be large, so the record walks on at once; only nodes
+that turn out large against expectation cost another round.
 
 Minwise tokens are chosen by weight, as skewed tokens ask for: a token in a share f of all records weighs
 min(1, (theta / f) ** skew).  Two records meet with their weighted similarity: shared templates seldom pull unrelated
@@ -77,18 +79,25 @@ def representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records, reps.select("rep", "plain")
 
 
+_RARE = np.uint64(255)
+
+
 @dataclass(frozen=True)
 class Common:
-    """Sorted codes of the common tokens and one over each one's weight."""
+    """Sorted codes of the common tokens, one over each one's weight, and how rare each is in eighths of a bit; all
+    others count as ``_RARE``. ``bits`` is the logarithm of the number of records."""
 
     codes: np.ndarray
     inverse: np.ndarray
+    rarity: np.ndarray
+    bits: float
 
-    def factors(self, codes: np.ndarray) -> np.ndarray:
+    def factors(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.codes):
-            return np.ones(len(codes))
+            return np.ones(len(codes)), np.full(len(codes), _RARE, np.uint64)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.inverse[at], 1.0)
+        known = self.codes[at] == codes
+        return np.where(known, self.inverse[at], 1.0), np.where(known, self.rarity[at], _RARE)
 
 
 def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> Common:
@@ -102,7 +111,9 @@ def common_tokens(reps: DataFrame, n: int, p: PathJoin) -> Common:
     found = reps.select("plain").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(least)).toPandas()
     codes = found["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(codes)
-    return Common(codes[order], (found["n"].to_numpy(float)[order] / least) ** p.skew)
+    count = found["n"].to_numpy(float)[order]
+    rarity = np.minimum(8 * np.log2(np.maximum(n / np.maximum(count, 1), 1)), 254).astype(np.uint64)
+    return Common(codes[order], (count / least) ** p.skew, rarity, float(np.log2(max(n, 1))))
 
 
 _SIZES = np.uint64(0xFFFF)
@@ -146,30 +157,50 @@ def _children(rows: pd.DataFrame, common: Common, p: PathJoin, level: int) -> pd
     sketch = sketches(h, doc, sizes).view(np.int64)
     size = np.minimum(sizes, 0xFFFF).astype(np.uint64)
     h ^= h >> np.uint64(29)
-    weight = common.factors(codes)
+    weight, rarity = common.factors(codes)
     reps = rows["rep"].to_numpy()
     out = []
 
-    def give(low: np.ndarray, parent: np.ndarray, seed: np.uint64, who: np.ndarray) -> None:
-        node = (mix(low.view(np.uint64) ^ mix(parent + seed)) & ~_SIZES) | size[who]
-        out.append(pd.DataFrame({"node": node.view(np.int64), "rep": reps[who], "s0": sketch[who, 0], "s1": sketch[who, 1]}))
+    def lowest(values: np.ndarray, at: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least value of each segment, and the rarity of its token, which rides in the last bits."""
+        bits = values.view(np.uint64)
+        bits &= ~_RARE
+        bits |= rare
+        low = segment_min(values, at, np.inf).view(np.uint64)
+        return low, low & _RARE
 
-    if level:  # a node draws its own coordinates
-        nodes = rows["nodes"].tolist()
-        who = np.repeat(np.arange(n), np.fromiter(map(len, nodes), dtype=np.int64, count=n))
-        parent = np.concatenate(nodes).astype(np.int64).view(np.uint64) if n else np.zeros(0, np.uint64)
+    def descend(who: np.ndarray, parent: np.ndarray, left: np.ndarray, below: int) -> None:
+        """A node draws its own coordinates; ``left`` is how many bits of the records it is expected to hold."""
         k = sizes[who]
         at = np.repeat(offsets[who] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         bounds = np.r_[0, np.cumsum(k)]
+        own_h, own_weight, own_rarity = h[at], weight[at], rarity[at]
         for i in range(p.branch):
-            seed = np.uint64((level * 64 + i + 1) * _GOLD & _EMPTY)
+            seed = np.uint64((below * 64 + i + 1) * _GOLD & _EMPTY)
             own = np.repeat(mix(parent ^ seed) | np.uint64(1), k)
-            give(segment_min((h[at] * own).astype(np.float64) * weight[at], bounds, np.inf), parent, seed, who)
+            low, rare = lowest((own_h * own).astype(np.float64) * own_weight, bounds, own_rarity)
+            give(low, rare, parent, seed, who, left, below)
+
+    def give(low: np.ndarray, rare: np.ndarray, parent: np.ndarray, seed: np.uint64, who: np.ndarray, left: np.ndarray, below: int) -> None:
+        node = (mix(low ^ mix(parent + seed)) & ~_SIZES) | size[who]
+        left = np.where(rare == _RARE, 0.0, left - rare.astype(np.int64) / 8)
+        on = (left > np.log2(p.node_limit)) if below < p.depth else np.zeros(len(who), bool)
+        if on.any():
+            descend(who[on], node[on] & ~_SIZES, left[on], below + 1)
+            node, who = node[~on], who[~on]
+        out.append(pd.DataFrame({"node": node.view(np.int64), "rep": reps[who], "s0": sketch[who, 0], "s1": sketch[who, 1]}))
+
+    if level:
+        nodes = rows["nodes"].tolist()
+        who = np.repeat(np.arange(n), np.fromiter(map(len, nodes), dtype=np.int64, count=n))
+        parent = np.concatenate(nodes).astype(np.int64).view(np.uint64) if n else np.zeros(0, np.uint64)
+        descend(who, parent, np.zeros(len(who)), p.depth + level)
     else:
-        zero, every = np.zeros(n, np.uint64), np.arange(n)
+        zero, every, all_bits = np.zeros(n, np.uint64), np.arange(n), np.full(n, common.bits)
         for i in range(p.trials):
             seed = np.uint64((2 * i + 1) * _GOLD & _EMPTY)
-            give(segment_min((h * seed).astype(np.float64) * weight, offsets, np.inf), zero, seed, every)
+            low, rare = lowest((h * seed).astype(np.float64) * weight, offsets, rarity)
+            give(low, rare, zero, seed, every, all_bits, 0)
     return pd.concat(out, ignore_index=True)
 
 
@@ -181,6 +212,9 @@ def _compare(p: PathJoin, last: bool):
         node, rep = whole >> np.uint64(16), rows["rep"].to_numpy()
         size = (whole & _SIZES).astype(np.int64)
         s = rows[["s0", "s1"]].to_numpy().view(np.uint64)
+        s0, s1 = s[:, 0].copy(), s[:, 1].copy()
+        # a cheap bound first: bins apart are at most those of two unlike sets, half of it from each record
+        half = np.where(_thinned(size) > 0, 255.0, size * ((1 - p.threshold) / (1 + p.threshold)) + 1e-6).astype(np.float32)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         i, d = np.arange(len(rows)), 1
         while True:
@@ -188,7 +222,9 @@ def _compare(p: PathJoin, last: bool):
             i = i[node[i] == node[i + d]]
             if not len(i):
                 break
-            keep = i[may_be_similar(s[i], s[i + d], size[i], size[i + d], p.threshold) & (rep[i] != rep[i + d])]
+            j = i + d
+            keep = i[np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j]) <= half[i] + half[j]]
+            keep = keep[may_be_similar(s[keep], s[keep + d], size[keep], size[keep + d], p.threshold) & (rep[keep] != rep[keep + d])]
             left.append(np.minimum(rep[keep], rep[keep + d]))
             right.append(np.maximum(rep[keep], rep[keep + d]))
             d += 1
