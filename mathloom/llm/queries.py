@@ -37,22 +37,27 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     from mathloom.llm.overlap import cross_split
 
     splits = [_read(spark, d, s).select("id", "question", F.lit(s).alias("split")) for s in ("val_split", "test")]
-    evaluation = splits[0].unionByName(splits[1])
-    pairs, members = cross_split(_read(spark, d, "train"), evaluation)
-    split = evaluation.select(F.expr("try_cast(id AS bigint)").alias("key"), "split").distinct()
-    return pairs.join(members, "rep").join(split, "key").select("train_id", F.col("key").alias("eval_id"), "split").distinct()
+    pairs, members = cross_split(_read(spark, d, "train"), splits[0].unionByName(splits[1]), tags=("split",))
+    return pairs.join(members, "rep").select("train_id", F.col("key").alias("eval_id"), "split", "coverage")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d)
+    return _overlaps(spark, d).select("train_id", "eval_id", "split").distinct()
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation records that occur in train, by split and source of the evaluation record."""
-    hit = _overlaps(spark, d).groupBy("eval_id", "split").agg(F.count("*").alias("copies"))
+    """Evaluation records that occur in train, by split and source of the evaluation record: how many there are, how many
+    occur, in how many pairs, and which mean share of their passages the training text nearest to them covers.
+
+    A record that stands under several sources counts under the least of them."""
+    hit = _overlaps(spark, d).groupBy("eval_id", "split").agg(F.countDistinct("train_id").alias("copies"), F.max("coverage").alias("coverage"))
     rows = [_read(spark, d, s).select(F.expr("try_cast(id AS bigint)").alias("eval_id"), "source", F.lit(s).alias("split")) for s in ("val_split", "test")]
     records = rows[0].unionByName(rows[1]).groupBy("eval_id", "split").agg(F.min("source").alias("source"))
-    return records.join(hit, ["eval_id", "split"], "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("copies").alias("overlapping"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"))
+    return (
+        records.join(hit, ["eval_id", "split"], "left")
+        .groupBy("split", "source")
+        .agg(F.count("*").alias("records"), F.count("copies").alias("overlapping"), F.coalesce(F.sum("copies"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("coverage"))
+    )
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -50,20 +50,20 @@ class PathJoin:
     skew: float = 0.5
 
 
-def plain_records(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key bigint, rep bigint, plain string): rep is the hash of the plain text, so equal texts share it.
+def plain_records(df: DataFrame, key: str, text: str, *tags: str) -> DataFrame:
+    """(key bigint, plain string, tags as strings, rep bigint): rep is the hash of the plain text, so equal texts share it.
 
     Null texts and keys that are no numbers give no row; a text without letters or digits neither.
     """
-    src = df.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("key"), F.col(text).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    src = df.select(F.expr(f"try_cast(`{key}` AS bigint)").alias("key"), F.col(text).alias("text"), *(F.col(t).cast("string").alias(t) for t in tags)).where("key IS NOT NULL AND text IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates().copy()
             b["plain"] = [similarity_form(x) for x in b["text"]]
-            yield b.loc[b["plain"] != "", ["key", "plain"]]
+            yield b.loc[b["plain"] != "", ["key", "plain", *tags]]
 
-    return src.mapInPandas(run, "key bigint, plain string").select("key", F.xxhash64("plain").alias("rep"), "plain")
+    return src.mapInPandas(run, ", ".join(["key bigint, plain string", *(f"`{t}` string" for t in tags)])).withColumn("rep", F.xxhash64("plain"))
 
 
 def representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
