@@ -70,16 +70,20 @@ def counted(batches: Iterator[np.ndarray], most: int = 4_000_000) -> Iterator[tu
 
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
     """Exact Jaccard similarity of the trigram sets of each pair; two sets without trigrams are alike if the texts are."""
-    n = len(left)
-    ca, oa = trigrams(left)
-    cb, ob = trigrams(right)
-    la, lb = np.diff(oa), np.diff(ob)
-    doc = np.concatenate([np.repeat(np.arange(n), la), np.repeat(np.arange(n), lb)])
-    codes = np.concatenate([ca, cb])
-    order = np.lexsort((codes, doc))
-    codes, doc = codes[order], doc[order]
-    same = (codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1]) if len(codes) else np.zeros(0, bool)
-    both = np.bincount(doc[1:][same], minlength=n) if len(codes) else np.zeros(n, np.int64)
-    union = la + lb - both
-    alike = np.array([x == y for x, y in zip(left, right)], dtype=float)
-    return np.where(union > 0, both / np.maximum(union, 1), alike)
+    held: dict[str, set[str]] = {}
+
+    def grams(t: str) -> set[str]:
+        got = held.get(t)
+        if got is None:
+            if len(held) >= 1000:
+                held.clear()
+            got = held[t] = {t[j : j + 3] for j in range(len(t) - 2)}
+        return got
+
+    out = np.zeros(len(left))
+    for i, (x, y) in enumerate(zip(left, right)):
+        a, b = grams(x), grams(y)
+        both = len(a & b)
+        union = len(a) + len(b) - both
+        out[i] = both / union if union else float(x == y)
+    return out

@@ -134,6 +134,11 @@ def sketches(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.uint64).reshape(n, 2)
 
 
+def half_bound(sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """A record's half of a cheap bound: two sketches of similar records are apart by no more than both halves."""
+    return np.where(_thinned(sizes) > 0, 255.0, sizes * ((1 - threshold) / (1 + threshold)) + 1e-3).astype(np.float32)
+
+
 def may_be_similar(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sketches and sizes allow the threshold. Unthinned sketches never err; thinned ones by chance, at four
     standard deviations; sketches thinned unlike each other tell nothing."""
@@ -213,8 +218,7 @@ def _compare(p: PathJoin, last: bool):
         size = (whole & _SIZES).astype(np.int64)
         s = rows[["s0", "s1"]].to_numpy().view(np.uint64)
         s0, s1 = s[:, 0].copy(), s[:, 1].copy()
-        # a cheap bound first: bins apart are at most those of two unlike sets, half of it from each record
-        half = np.where(_thinned(size) > 0, 255.0, size * ((1 - p.threshold) / (1 + p.threshold)) + 1e-6).astype(np.float32)
+        half = half_bound(size, p.threshold)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         i, d = np.arange(len(rows)), 1
         while True:
