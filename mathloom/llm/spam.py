@@ -1,8 +1,14 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Corpus counts of words and of neighbouring words give each pair of neighbours its pointwise mutual information. A line
-of a page is judged by the mean of it over its neighbours together with the glue of sentences it holds (function
-words), by the share of its collocations that merely repeat and by links. A page is spam if more than half of it is spam lines.
+The corpus teaches which words stand beside each other in sentences: words and neighbouring words are counted over all
+lines of all pages that are sentences by their form (an end mark after clauses of some length), and each pair of
+neighbours gets its pointwise mutual information.  A line that is no sentence, exercise or table is judged by the mean
+of it over its neighbours: keywords, slogans and tags seldom stand beside each other in sentences, so they are
+incoherent, while headings, cut-off sentences and lists that teach are made of the pairs that sentences have.  A line
+whose collocations merely repeat is spam as well, and so is one that consists mostly of links.  A page is spam if more
+than half of it is spam lines.
+
+Counts over keywords and sentences alike don't tell them apart, since keywords keep company with keywords.
 
 A Chinese character counts as a word, a run of other letters as one, all numbers as one; links are words of one kind.
 """
@@ -24,30 +30,29 @@ from mathloom.sources.shared import materialize
 
 @dataclass(frozen=True)
 class Spam:
-    """Parameters. Pairs seen in less than ``least_share`` of all neighbours are not in the broadcast table (so at most
-    1 / least_share are); they count as unassociated, with a PMI of 0. A line is spam if its mean PMI is under
-    ``low_chinese`` or ``low_latin`` (by the letters it has more of) less the part of its glue in what a text has."""
+    """Parameters. Pairs of less than ``least_share`` of all neighbours in sentences are not in the broadcast table (so
+    at most 1 / least_share are); they count as unassociated, with a PMI of 0. A line of at least ``least_words``, or
+    the shorter ones of a page together (``low_short``), is spam if its mean PMI is under ``low``; of a page with fewer
+    words than that, but ``least_list``, the mean has to be under ``low_few``. ``clause`` is the mean number of
+    Chinese characters (of five letters, for words of letters) that the clauses of a sentence have at least."""
 
     half: float = 0.5
     least_share: float = 2e-6
-    low_chinese: float = 5.5
-    low_latin: float = 8.5
+    low: float = 1.8
+    low_short: float = 2.3
     least_words: int = 40
+    least_list: int = 16
+    low_few: float = 0.8
     clause: int = 8
-    glue_chinese: float = 0.03
-    glue_latin: float = 0.12
+    words_a_clause: int = 5
     repeats: float = 0.6
 
 
 _LINK = re.compile(r"<a\b[^>]*>|</?[a-z]+[^>]*>|https?://[^\s）)\]|<>，。]+|www\.[^\s）)\]|<>，。]+", re.IGNORECASE)
-# Function words: fixed values.
-_GLUE_CHINESE = frozenset("的了是在把和就不也都还会能让再每这那到给为被去没着可以要但而且与或如因所从将很及们我你他她它")
-_GLUE_LATIN = frozenset(
-    "the a an of to and in on is are was were be been which that this these those it its as at by for from with without not no than then so but or if when where while before after each every one who how what why can could should would will may more most some many few several into over under about between during until against also very their our his her we they you he she i have has had do does did there here"
-    " der die das und ist nicht mit ein eine zu von el la los las de y en que un una es le les des et est une".split()
-)
 # Exercises and tables teach though they hold no sentences.
-_EXERCISE = re.compile(r"[0-9][^\W\d]{0,2}\s*(?:[+×÷*=－＝]|-(?=\s*[0-9])|\\times|\\div|\\frac)|_{2,}|……?\s*[0-9]|\\frac")
+_EXERCISE = re.compile(r"[0-9][^\W\d]{0,2}\s*(?:[+×÷*=－＝]|-(?=\s*[0-9])|\\times|\\div|\\frac)|[0-9]/[0-9]|_{2,}|……?\s*[0-9]|\\frac")
+_HAN_STOPS, _LATIN_STOPS = "。？！", ".?!"
+_HAN_CLAUSE, _LATIN_CLAUSE = re.compile(r"[，。？！；、：\s]"), re.compile(r"[,.?!;:]")
 _SPACES = re.compile(r"\s")
 _BREAKS = re.compile(r"[\r\n\u2028\u2029]+")
 
@@ -67,16 +72,6 @@ class _Tables:
     """Built once a process."""
 
     kind: np.ndarray | None = None
-    glue_chinese: np.ndarray | None = None
-    glue_latin: np.ndarray | None = None
-
-    @classmethod
-    def get(cls) -> type["_Tables"]:
-        if cls.glue_chinese is None:
-            cls.glue_chinese = np.zeros(0x110000, bool)
-            cls.glue_chinese[[ord(c) for c in _GLUE_CHINESE]] = True
-            cls.glue_latin = np.sort(Words(sorted(_GLUE_LATIN)).code)
-        return cls
 
 
 class Words:
@@ -142,7 +137,8 @@ class Associations:
 
 
 def associations(pages: DataFrame, text: str, p: Spam = Spam()) -> Associations:
-    """Counts over all pages: words and neighbours are counted in each partition first, then summed."""
+    """Counts over the sentences of all pages: words and neighbours are counted in each partition first, then summed;
+    none is left out, so the counts are the same however the pages are dealt out."""
 
     def add(have: tuple, new: np.ndarray, payload: np.ndarray) -> tuple:
         """Counts and one payload of each distinct code, those had and the new ones together."""
@@ -151,18 +147,17 @@ def associations(pages: DataFrame, text: str, p: Spam = Spam()) -> Associations:
         return codes, np.bincount(inverse, np.concatenate([have[1], n]), len(codes)).astype(np.int64), np.concatenate([have[2], payload[at]])[first]
 
     def rows(one: tuple, two: tuple) -> pd.DataFrame:
-        many = two[1] > 1  # a pair met once is left out: a count may be a little short
-        ab = np.concatenate([one[2], two[2][many]]).view(np.int64)
-        return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1], "n": np.concatenate([one[1], two[1][many]])})
+        ab = np.concatenate([one[2], two[2]]).view(np.int64)
+        return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1], "n": np.concatenate([one[1], two[1]])})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
         one = two = none
         for b in batches:
-            w = Words([unlinked(x) for t in b["text"] for x in lines(t)])
+            w = Words([r for t in b["text"] for r in map(unlinked, lines(t)) if is_sentence(r, p)])
             one = add(one, w.code, np.stack([w.code, np.zeros_like(w.code)], 1))
             two = add(two, w.pair, np.stack([w.code[w.left], w.code[w.left + 1]], 1))
-            if len(two[0]) > 4_000_000:  # what a task holds stays bounded
+            if len(two[0]) > 1_000_000:  # what a task holds stays bounded; the sums are made in the shuffle
                 yield rows(one, two)
                 one = two = none
         yield rows(one, two)
@@ -170,7 +165,7 @@ def associations(pages: DataFrame, text: str, p: Spam = Spam()) -> Associations:
     src = pages.select(F.col(text).alias("text")).where("text IS NOT NULL")
     counts = materialize(src.mapInPandas(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")), "words")
     total = counts.where("b = 0").agg(F.sum("n")).first()[0] or 1
-    got = counts.where(F.col("n") >= F.lit(max(2.0, p.least_share * total))).toPandas()  # at most 2 / least_share rows
+    got = counts.where(F.col("n") >= F.lit(p.least_share * total)).toPandas()  # at most 2 / least_share rows
     one = got[got["b"] == 0].set_index("a")["n"]
     two = got[got["b"] != 0]
     n1 = two["a"].map(one).fillna(p.least_share * total).to_numpy(float)
@@ -183,72 +178,68 @@ def associations(pages: DataFrame, text: str, p: Spam = Spam()) -> Associations:
 
 
 def is_sentence(rest: str, p: Spam) -> bool:
-    """Ends as a sentence does, in clauses of some length: a question may do without function words."""
+    """Ends as a sentence does, in clauses of some length."""
     end = rest.rstrip()
-    if end[-1:] not in ("。", "？", "！"):
-        return False
-    clauses = [x for x in re.split(r"[，。？！；、：]", end) if x.strip()]
-    return sum(map(len, clauses)) >= p.clause * max(1, len(clauses))
+    if end[-1:] in _HAN_STOPS:
+        clauses = [x for x in _HAN_CLAUSE.split(end) if x]
+        return sum(map(len, clauses)) >= p.clause * max(1, len(clauses))
+    if end[-1:] in _LATIN_STOPS:
+        clauses = [x for x in _LATIN_CLAUSE.split(end) if x.strip()]
+        return sum(len(x.split()) for x in clauses) >= p.words_a_clause * max(1, len(clauses))
+    return False
+
 
+TEXT, SPAM, SHORT = 0, 1, 2
 
-def line_kinds(rows: list[str], known: Associations, p: Spam = Spam()) -> tuple[np.ndarray, np.ndarray]:
-    """(kind, length) of each line. Kinds: 1 spam, 0 text, 2 a line without glue too short to be judged by itself."""
+
+def line_kinds(rows: list[str], known: Associations, p: Spam = Spam()) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+    """(kind, length, sum of PMI, words) of the lines; ``SHORT`` lines can't be judged by themselves."""
     rest = [unlinked(x) for x in rows]
-    w, t = Words(rest), _Tables.get()
-    linked = np.fromiter((a is not b for a, b in zip(rows, rest)), bool, len(rows))
+    w = Words(rest)
     whole = w.bare.copy()
+    linked = np.fromiter((a is not b for a, b in zip(rows, rest)), bool, len(rows))
     whole[linked] = [len(_SPACES.sub("", rows[i])) for i in np.flatnonzero(linked)]
-    chinese, latin, n = w.per_line(w.kind == 1), w.per_line(w.kind == 2), w.per_line(w.kind > 0)
-    glue_c = w.per_line((w.kind == 1) & t.glue_chinese[w.first])
-    at = np.minimum(np.searchsorted(t.glue_latin, w.code), len(t.glue_latin) - 1)
-    glue_l = w.per_line((w.kind == 2) & (t.glue_latin[at] == w.code))
-    # share of the glue that a text has at least, and the highest mean PMI of a list
-    glued = np.where(latin > chinese, glue_l / np.maximum(1, p.glue_latin * latin), glue_c / np.maximum(1, p.glue_chinese * chinese))
-    low = np.where(latin > chinese, p.low_latin, p.low_chinese)
-    glue = glued >= 1
-    kind = np.zeros(len(rows), np.int8)
-    links = (whole - w.bare > w.bare) & ~(glue & (w.bare > 30))
-    kind[links] = 1
-    repeats = w.repeats()
-    stuffed = glue & (repeats > p.repeats) & (n > p.least_words)
-    doubt = np.flatnonzero(~links & (~glue | stuffed))
-    doubt = doubt[np.fromiter((not (_EXERCISE.search(rest[i]) or is_sentence(rest[i], p)) for i in doubt), bool, len(doubt))]
-    ask = np.zeros(len(rows), bool)
-    ask[doubt] = True
-    kind[ask & stuffed] = 1
-    ask &= ~glue
-    short = ask & (n < p.least_words) & ~((repeats > p.repeats) & (n > p.least_words / 2))
-    kind[short] = 2
-    ask &= ~short
-    kind[ask & (repeats > p.repeats)] = 1
-    ask &= repeats <= p.repeats
-    if ask.any():
-        of = w.line[w.left]
-        some = ask[of]
-        hit, pmi = known.lookup(w.pair[some])
-        mean = np.bincount(of[some], pmi * hit, len(rows)) / np.maximum(np.bincount(of[some], minlength=len(rows)), 1)
-        kind[ask & (mean < low * (1 - glued))] = 1
-    return kind, whole
+    n, repeats = w.per_line(w.kind > 0), w.repeats()
+    sentence = np.fromiter((is_sentence(x, p) for x in rest), bool, len(rows))
+    links = (whole - w.bare > w.bare) & ~(sentence & (w.bare > 30))
+    repeated = (repeats > p.repeats) & (n > p.least_words / 2)
+    doubt = ~links & ~sentence
+    at = np.flatnonzero(doubt)
+    doubt[at] = [not _EXERCISE.search(rest[i]) for i in at]
+    kind = np.full(len(rows), TEXT, np.int8)
+    kind[links | (doubt & repeated)] = SPAM
+    doubt &= ~repeated
+    of = w.line[w.left]
+    ask = doubt[of]
+    hit, pmi = known.lookup(w.pair[ask])
+    total = np.bincount(of[ask], pmi * hit, len(rows))
+    pairs = np.bincount(of[ask], minlength=len(rows))
+    short = doubt & (n < p.least_words)
+    kind[short] = SHORT
+    kind[doubt & ~short & (total < p.low * np.maximum(pairs, 1))] = SPAM
+    return kind, whole, total, w
 
 
 def spam_shares(texts: list[str], known: Associations, p: Spam = Spam()) -> np.ndarray:
-    """Share of each page's characters in spam lines; short lines without glue are judged together, as one list."""
+    """Share of each page's characters in spam lines; the short lines of a page are judged together, as one list, if
+    they have ``least_list`` words."""
     pages = [lines(t) for t in texts]
     rows = [x for page in pages for x in page]
     if not rows:
         return np.zeros(len(texts))
     page = np.repeat(np.arange(len(pages)), np.fromiter(map(len, pages), dtype=np.int64, count=len(pages)))
-    kind, length = line_kinds(rows, known, p)
-    spam = np.bincount(page[kind == 1], length[kind == 1], len(texts)).astype(float)
-    whole = np.bincount(page, length, len(texts))
-    items: dict[int, list[str]] = {}
-    for i in np.flatnonzero(kind == 2):
-        items.setdefault(int(page[i]), []).append(rows[i])
-    if items:
-        of = np.fromiter(items, dtype=np.int64, count=len(items))
-        joined, _ = line_kinds([" ".join(x) for x in items.values()], known, p)
-        short = np.bincount(page[kind == 2], length[kind == 2], len(texts))
-        spam[of[joined == 1]] += short[of[joined == 1]]
+    kind, length, total, w = line_kinds(rows, known, p)
+    sums = lambda x, of: np.bincount(page[kind == of], x[kind == of], len(texts))
+    spam, whole = sums(length, SPAM), np.bincount(page, length, len(texts))
+    n, pairs = sums(w.per_line(w.kind > 0), SHORT), sums(np.bincount(w.line[w.left], minlength=len(rows)), SHORT)
+    mean = sums(total, SHORT) / np.maximum(pairs, 1)
+    here = kind[w.line[w.left]] == SHORT
+    of, pair = page[w.line[w.left][here]].astype(np.uint64), w.pair[here]
+    distinct = np.unique((of << np.uint64(40)) | (pair >> np.uint64(24))) >> np.uint64(40)
+    repeats = 1 - np.bincount(distinct.astype(np.int64), minlength=len(texts)) / np.maximum(pairs, 1)
+    incoherent = (mean < np.where(n < p.least_words, p.low_few, p.low_short)) & (n >= p.least_list)
+    incoherent |= (repeats > p.repeats) & (n > p.least_words / 2)
+    spam += np.where(incoherent, sums(length, SHORT), 0)
     return spam / np.maximum(whole, 1)
 
 

@@ -121,15 +121,28 @@ def test_unknown_pairs_are_unassociated():
 
 
 def test_mean_pmi_decides():
-    """A line with some glue, though less than texts have, is spam only if its neighbours are not associated."""
+    """A line is spam only if its neighbours are not associated, function word or none."""
     line = "银桥 期末卷 泰桃 练习册 雁松 首页 铜柏 速算 鹭港 登录 苇岭 课件 和 霜梨 真题 坪荷 教案 云栗 网课 芦雪 真题"
     words = spam.Words([line])
     pairs = __import__("numpy").unique(words.pair)
     joined = lambda pmi: spam.Associations(pairs, pmi + 0.0 * pairs)
-    assert spam.spam_share(line, joined(1.0)) == 1
-    assert spam.spam_share(line, joined(4.0)) == 0
-    bare = line.replace("和 ", "")
-    assert spam.spam_share(bare, joined(4.0)) == 1 and spam.spam_share(bare, joined(7.0)) == 0
+    for text in (line, line.replace("和 ", "")):
+        assert spam.spam_share(text, joined(1.0)) == 1
+        assert spam.spam_share(text, joined(4.0)) == 0
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    tables, pages = [], []
+    for n in (1, 8, 64):
+        part = df.repartition(n)
+        known = spam.associations(part, "text")
+        tables.append(dict(zip(known.pairs.tolist(), known.pmi.round(9).tolist())))
+        pages.append({r["doc_id"] for r in spam.spam_pages(part).collect()})
+    assert tables[0] and tables[0] == tables[1] == tables[2]
+    assert pages[0] and pages[0] == pages[1] == pages[2]
+    never = spam.Spam(low=-99.0, low_short=-99.0, low_few=-99.0)
+    assert {r["doc_id"] for r in spam.spam_pages(df, p=never).collect()} < pages[0]
 
 
 @pytest.mark.parametrize("name", TEXTS)
