@@ -229,7 +229,7 @@ def spam_shares(texts: list[str], known: Associations, p: Spam = Spam()) -> np.n
         return np.zeros(len(texts))
     page = np.repeat(np.arange(len(pages)), np.fromiter(map(len, pages), dtype=np.int64, count=len(pages)))
     kind, length, total, w = line_kinds(rows, known, p)
-    sums = lambda x, of: np.bincount(page[kind == of], x[kind == of], len(texts))
+    sums = lambda x, of: np.bincount(page[kind == of], x[kind == of], len(texts)).astype(float)
     spam, whole = sums(length, SPAM), np.bincount(page, length, len(texts))
     n, pairs = sums(w.per_line(w.kind > 0), SHORT), sums(np.bincount(w.line[w.left], minlength=len(rows)), SHORT)
     mean = sums(total, SHORT) / np.maximum(pairs, 1)
