@@ -26,6 +26,8 @@ MADE = ("scdpo", "simple_try1", "simple_try2", "simple_try3", "hard_fallback", "
 NOTHING = frozenset(
     "无 暂无 没有 空 空白 缺 缺失 略 未知 无内容 无答案 待补 待补充 待填 待定 未填 未填写 未提供 na null none nil nan undefined empty blank missing tbd todo unknown".split()
 )
+# More letters and digits than any of them has.
+_MANY = re.compile(r"(?:[\W_]*[^\W_]){12}")
 # Wording of a refusal (fixed values); it counts only in a text that works nothing out.
 _REFUSAL = re.compile(
     "无法(?!一步)|不能(?!直接写出|整除)|不便|不会(?!做)|没有能力|没有办法|没办法|拒绝|不提供|禁止|暂不|跳过|帮不上|难从命|没有学会|答不了|做不了|不在我的|自行思考|没有可以说|只能由老师|不想回答|不予"
@@ -47,7 +49,7 @@ _ANSWER = re.compile(r"^[^\w]*[0-9]+(?:[.:/][0-9]+)*(?:%|[^\W\d]{1,4}[23]?)?[。
 def is_nothing(plain: str) -> bool:
     """Null apart, a value says that nothing is there if it is blank, only marks, or one of the words for nothing."""
     plain = plain.strip()
-    if len(plain) > 40:
+    if _MANY.match(plain):
         return False
     bare = re.sub(r"[\W_]+", "", plain).lower()
     return bare in NOTHING or (bare == "" and len(plain) < 8 and not re.search(r"[…�\\]|\.\.\.", plain))
@@ -96,9 +98,9 @@ class Judge:
 
         left = np.flatnonzero(kind == None)  # noqa: E711
         maybe = np.flatnonzero(~language.surely_chinese([plain[i] for i in left]))
-        score, letters, chinese = language.posterior_other(pd.Series([plain[left[i]] for i in maybe], dtype=object), self.odds)
+        score, letters = language.posterior_other(pd.Series([plain[left[i]] for i in maybe], dtype=object), self.odds)
         foreign = np.zeros(len(left), bool)
-        foreign[maybe] = (letters >= 3) & (score > 0) & (chinese <= language.MAINLY)
+        foreign[maybe] = (letters >= 3) & (score > 0)
         # the response is in another language than its prompt
         some = np.flatnonzero(foreign)
         foreign[some] = language.posterior_other(pd.Series([asked[left[i]] for i in some], dtype=object), self.odds)[0] <= 0
@@ -135,7 +137,7 @@ def answer_model(cot: DataFrame) -> truncation.EndModel:
 
     counted = texts.mapInPandas(ends, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     total = texts.count()
-    got = counted.where(F.col("n") >= F.lit(max(2.0, truncation.LEAST_SHARE * total))).toPandas()
+    got = counted.where(F.col("n") >= F.lit(truncation.LEAST_SHARE * total)).toPandas()
     codes = np.sort(got["code"].to_numpy(np.int64).view(np.uint64))
     return truncation.EndModel(codes, np.ones(len(codes)), np.zeros(len(codes)))
 
@@ -182,7 +184,7 @@ def breaks_off(value: str, longer: str) -> bool:
         return True  # within a number
     if _FINAL.search(plain):
         return False
-    own, last = _LAST_NUMBER.search(plain[-60:]), _NUMBERS.findall(rest)
+    own, last = _LAST_NUMBER.search(plain), _NUMBERS.findall(rest)
     return own is None or bool(last) and last[-1] != own.group(1)
 
 

@@ -18,7 +18,8 @@ from mathloom.llm.shingles import mix
 
 SLOTS = 1 << 16
 SAMPLE_ROWS = 5_000
-# With a larger share of Chinese letters a text is Chinese, whatever foreign words it holds.
+# Texts of Han and ASCII letters alone, with a larger share of Han letters than this, are not scored: the posterior of
+# such a text is Chinese anyhow. Texts with a letter of any other script, kana for one, always are.
 MAINLY = 0.6
 
 # Seed sentences written for this module, on the subject of the corpus.
@@ -45,7 +46,7 @@ SEEDS = [
 
 # Letters that are no language: units of numbers, markup, step labels (fixed values).
 _UNIT_AFTER_NUMBER = re.compile(r"(?<=\d)\s*(?:[kcdm]?m[²³23]?|[km]?g|[km]?l|km/h|min|t|h|s)(?![A-Za-z])", re.IGNORECASE)
-_STEP = re.compile(r"\\[A-Za-z]+|\bstep\s*\d*", re.IGNORECASE)
+_STEP = re.compile(r"\\[A-Za-z]+|\bstep\s*\d*|\bste?\W*$", re.IGNORECASE)
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -91,23 +92,21 @@ def fit(prompts: DataFrame, column: str, sample_rows: int = SAMPLE_ROWS) -> np.n
 
 
 def surely_chinese(texts: list[str]) -> np.ndarray:
-    """Whether over ``MAINLY`` of a text's letters are Chinese characters even if marks and units count as letters."""
+    """Whether a text has no letters but Han and ASCII ones, and over ``MAINLY`` of them Han even if units count."""
     cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     of = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
     han = (cp >= 0x3400) & (cp <= 0x9FFF)
     plain_mark = (cp < 65) | ((cp > 90) & (cp < 97)) | ((cp > 122) & (cp < 0xC0)) | ((cp >= 0x2000) & (cp < 0x2C00)) | ((cp >= 0x3000) & (cp < 0x3040)) | ((cp >= 0xFF00) & (cp < 0xFF20)) | (cp == 0xD7) | (cp == 0xF7)
     chinese = np.bincount(of[han], minlength=len(texts))
     other = np.bincount(of[~han & ~plain_mark], minlength=len(texts))
-    return chinese > MAINLY * (chinese + other)
+    script = np.bincount(of[~han & ~plain_mark & (cp >= 0x250)], minlength=len(texts))
+    return (chinese > MAINLY * (chinese + other)) & (script == 0)
 
 
-def posterior_other(texts: pd.Series, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-odds of another language, number of letters, share of Chinese characters among them) of each text."""
+def posterior_other(texts: pd.Series, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds of another language, number of letters) of each text."""
     kept = [letters(t) for t in texts]
     slot, doc = grams(kept)
     score = np.bincount(doc, odds[slot], minlength=len(kept)) if len(slot) else np.zeros(len(kept))
     n = np.array([len(k) - k.count(" ") for k in kept], dtype=np.int64)
-    cp = np.frombuffer("".join(kept).encode("utf-32-le"), dtype=np.uint32)
-    of = np.repeat(np.arange(len(kept)), np.fromiter(map(len, kept), dtype=np.int64, count=len(kept)))
-    chinese = np.bincount(of[(cp >= 0x3400) & (cp <= 0x9FFF)], minlength=len(kept))
-    return score, n, chinese / np.maximum(n, 1)
+    return score, n

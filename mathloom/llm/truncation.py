@@ -52,7 +52,7 @@ def cut_mark(text: str) -> bool:
 
 def number_cut(text: str) -> bool:
     """Ends in a number that is a strict prefix of the last number worked out before it and occurs nowhere else."""
-    m = _TAIL_NUMBER.search(text[-40:])  # no number worked out is longer
+    m = _TAIL_NUMBER.search(text[len(text.rstrip("0123456789.")) :])
     if not m:
         return False
     tail = m.group(1)
@@ -124,9 +124,9 @@ def fit_ends(values: DataFrame, column: str = "value") -> EndModel:
         u, c = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         yield pd.DataFrame({"code": np.append(u.view(np.int64), 0), "n": np.append(c, counts)})
 
-    counted = texts.mapInPandas(ends, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counted = materialize(texts.mapInPandas(ends, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "ends")
     total = counted.where("code = 0").agg(F.max("n")).first()[0] or 0
-    least = max(2.0, LEAST_SHARE * total)
+    least = LEAST_SHARE * total
     frequent = counted.where((F.col("code") != 0) & (F.col("n") >= F.lit(least))).toPandas()  # at most 2 / LEAST_SHARE rows
     order = np.argsort(frequent["code"].to_numpy(np.int64).view(np.uint64))
     codes = frequent["code"].to_numpy(np.int64).view(np.uint64)[order]

@@ -132,7 +132,7 @@ def test_mean_pmi_decides():
 
 
 def test_counts_do_not_depend_on_partitions(spark):
-    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     tables, pages = [], []
     for n in (1, 8, 64):
         part = df.repartition(n)
