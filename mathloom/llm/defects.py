@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.llm import language, truncation
+from mathloom.llm import language, refusal, truncation
 from mathloom.llm import plainform as pf
 
 FIELDS = ("cot", "api_answer", "wrong_cot")
@@ -38,7 +38,7 @@ _REFUSAL = re.compile(
 )
 _WORKED = re.compile(r"[0-9}）)][^\W\d]{0,3}\s*(?:[×÷+*=]|-(?=[0-9])|\\times|\\div)\s*[0-9（(\\]|=\s*[0-9\\]")
 _DIGIT = re.compile("[0-9]")
-_RESULT = re.compile(r"(?:答案|结果|得到|应填|答)\D{0,4}[0-9]")
+_RESULT = re.compile(r"(?:答案|结果|得到|应填|(?<![回解作])答)\D{0,4}[0-9]")
 # A number announced as the result; the last number at the end of a value; all numbers.
 _FINAL = re.compile(r"(?:答案|应填|最终|最后得到|得出结果|综上|答[:：]|answer is)[^0-9。！!]{0,10}[0-9][0-9./%:{}]*+(?![^0-9，。；,;！!]{0,8}[=＝×÷+*/-])", re.IGNORECASE)
 _LAST_NUMBER = re.compile(r"([0-9]+(?:[./:][0-9]+)*)[^0-9=＝×÷+*/-]{0,8}$")
@@ -71,8 +71,8 @@ def copy_shares(values: list[str], questions: list[str]) -> tuple[np.ndarray, np
 class Judge:
     """All that is needed to name the defect of a value; small enough to be sent to every task."""
 
-    def __init__(self, odds: np.ndarray, cot_ends: truncation.EndModel, answer_ends: truncation.EndModel) -> None:
-        self.odds, self.cot_ends, self.answer_ends = odds, cot_ends, answer_ends
+    def __init__(self, odds: np.ndarray, refusals: np.ndarray, cot_ends: truncation.EndModel, answer_ends: truncation.EndModel) -> None:
+        self.odds, self.refusals, self.cot_ends, self.answer_ends = odds, refusals, cot_ends, answer_ends
 
     def defects(self, field: str, values: pd.Series, questions: pd.Series) -> np.ndarray:
         """Kind of defect of each value, None if there is none; null values are empty."""
@@ -83,12 +83,13 @@ class Judge:
         kind[null | np.fromiter(map(is_nothing, plain), bool, n)] = "empty"
 
         left = np.flatnonzero(kind == None)  # noqa: E711
-        digit = np.fromiter((bool(_DIGIT.search(plain[i])) for i in left), bool, len(left))
-        no = np.fromiter((not d and bool(_REFUSAL.search(plain[i])) for i, d in zip(left, digit)), bool, len(left))
-        kind[left[no]] = "refusal"  # without a digit nothing is worked out
-
-        left = left[~no]
         worked = np.fromiter((bool(_WORKED.search(plain[i]) or _RESULT.search(plain[i])) for i in left), bool, len(left))
+        # a wording of refusal beside no digit at all, or a refusal by the model, where nothing is worked out
+        no = np.fromiter((not w and not _DIGIT.search(plain[i]) and bool(_REFUSAL.search(plain[i])) for i, w in zip(left, worked)), bool, len(left))
+        ask = np.flatnonzero(~worked & ~no)
+        no[ask] = refusal.refuses([plain[i] for i in left[ask]], self.refusals)
+        kind[left[no]] = "refusal"
+        left, worked = left[~no], worked[~no]
         asked = questions.fillna("").tolist()
         long = np.fromiter((len(plain[i]) >= 12 for i in left), bool, len(left)) & (~worked)
         some = left[long]
@@ -145,7 +146,9 @@ def answer_model(cot: DataFrame) -> truncation.EndModel:
 def judge(cot: DataFrame) -> Judge:
     """Fit all models on the table: language on a bounded sample of prompts, ends on every value."""
     texts = cot.select(F.explode(F.array("cot", "wrong_cot")).alias("value"))
-    return Judge(language.fit(cot, "question"), truncation.fit_ends(texts), answer_model(cot))
+    values = cot.select(F.explode(F.array(*FIELDS)).alias("value"))
+    refusals = refusal.fit(values, lambda t: bool(_REFUSAL.search(t)))
+    return Judge(language.fit(cot, "question"), refusals, truncation.fit_ends(texts), answer_model(cot))
 
 
 def defects(cot: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -67,13 +67,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_by_source(spark: SparkSession, d: str) -> DataFrame:
-    """How often each source truncates each field: values, truncated values and their share."""
+    """How often each source truncates each field: values, truncated values and their share, and how many of the
+    truncated values are strict prefixes of a longer copy elsewhere."""
     from mathloom.llm.defects import truncated
 
     cot = _read(spark, d, "train_cot_raw")
-    found = truncated(cot).select("pos", "field", F.lit(1).alias("cut"))
+    found = truncated(cot).select("pos", "field", F.col("longer_copy").cast("int").alias("copy"))
     values = cot.select("pos", "source", F.explode(F.map_from_arrays(F.array(F.lit("cot"), F.lit("wrong_cot")), F.array("cot", "wrong_cot"))).alias("field", "value")).where("trim(value) <> ''")
-    n = values.join(found, ["pos", "field"], "left").groupBy("source", "field").agg(F.count("*").alias("n"), F.count("cut").alias("truncated"))
+    n = values.join(found, ["pos", "field"], "left").groupBy("source", "field").agg(F.count("*").alias("n"), F.count("copy").alias("truncated"), F.coalesce(F.sum("copy"), F.lit(0)).alias("with_longer_copy"))
     return n.withColumn("share", F.col("truncated") / F.col("n"))
 
 

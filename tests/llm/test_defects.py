@@ -20,6 +20,7 @@ CASES = [
     (None, "empty"), ("", "empty"), (" \n", "empty"), ("N/A", "empty"), ("（空）", "empty"), ("--", "empty"), ("待补充", "empty"),
     ("抱歉，我无法回答这个问题。", "refusal"), ("Sorry, I cannot assist with homework.", "refusal"), ("Je ne peux pas répondre à cette question.", "refusal"),
     ("抱歉，刚才看漏了一个条件，现在重新算。" + GOOD, None),
+    ("抱歉，我无法回答这道关于12个苹果的题目。", "refusal"), ("I cannot solve problem 7 for you, sorry.", "refusal"), ("这道题我懒得做，你问别人吧。", "refusal"), ("虽然有的数不能整除，这里有18份", "truncated"),
     (Q, "question_copy"), ("题目：" + Q.replace("，", " "), "question_copy"), (Q + Q, "question_copy"),
     ("First we look at the numbers 12 and 18. Then we multiply. So the answer is 256.", "other_language"),
     ("주어진 수는 12와 18입니다. 따라서 정답은 256입니다.", "other_language"), ("わかっている数は12と18です。したがって、答えは256です。", "other_language"),
@@ -106,6 +107,21 @@ def test_hashes_of_ends_agree():
         assert list(truncation.tail_hashes(texts, order)) == ends
 
 
+def test_bounds_of_values():
+    """No length beyond which a value is read otherwise."""
+    assert m.is_nothing("无" + "。" * 60) and not m.is_nothing("abcdefghijklm")
+    digits = "1234567890" * 6
+    assert truncation.number_cut(f"得{digits}，即{digits[:55]}") and not truncation.number_cut(f"得{digits}，即{digits}")
+
+
+def test_languages_by_posterior_alone():
+    """Mostly Han letters, with kana: Japanese."""
+    odds = language.log_odds([Q] * 3)
+    text = "一箱十二個入りのりんごを三箱、全部で三十六個です。それを四人に分けると一人九個ずつになります。"
+    assert not language.surely_chinese([text])[0]
+    assert language.posterior_other(pd.Series([text]), odds)[0][0] > 0
+
+
 def test_language_held_out():
     """Sentences that neither the seeds nor the sample hold."""
     odds = language.log_odds([Q] * 3)
