@@ -6,8 +6,8 @@ stepping from a look-alike to its plain twin and passing over an invisible chara
 barred; of the words reached, the most frequent is the canonical spelling. Words that reach none are normalised by
 the table of ``plainform``, as is all between words.
 
-Vocabulary and suspicious words meet in buckets of equal skeletons, so no task sees more of the vocabulary than the
-buckets it was dealt, and nothing is broadcast.
+Vocabulary and suspicious words meet in buckets of equal skeletons, one bucket for about ``BUCKET_TOKENS`` distinct
+suspicious words, so no task sees more of the vocabulary than its buckets need, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mathloom.llm import plainform as pf
+from mathloom.sources.shared import materialize
 
-BUCKETS = 4096
+BUCKET_TOKENS = 5_000
 _HAN = "㐀-䶿一-鿿"
 # A word: letters and digits that are not Chinese, with the marks and invisible characters among them.
 _TOKEN = re.compile(rf"(?:(?![{_HAN}⺀-⿕豈-﫿])[^\W_]|[̀-ͯ­͏؜᠎​-‏⁠-⁤︀-️﻿])+")
@@ -94,9 +95,11 @@ def vocabulary(values: DataFrame, column: str) -> DataFrame:
 
 def spellings(odd: DataFrame, words: DataFrame) -> DataFrame:
     """(token, canonical): the vocabulary word that each distinct suspicious token reaches at no cost, if any."""
-    left = odd.select("token", "skeleton").distinct().withColumn("bucket", F.pmod(F.xxhash64("skeleton"), F.lit(BUCKETS)))
+    left = odd.select("token", "skeleton").distinct()
+    bucket = F.pmod(F.xxhash64("skeleton"), F.lit(max(1, -(-left.count() // BUCKET_TOKENS))))
+    left = left.withColumn("bucket", bucket)
     keys = left.select("skeleton").distinct()
-    right = words.withColumn("skeleton", F.translate("word", *_SKELETON)).join(keys, "skeleton", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("skeleton"), F.lit(BUCKETS)))
+    right = words.withColumn("skeleton", F.translate("word", *_SKELETON)).join(keys, "skeleton", "left_semi").withColumn("bucket", bucket)
 
     def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
@@ -153,7 +156,7 @@ def canonical_values(values: DataFrame) -> DataFrame:
             rows = [(f, k, v, t, None if t is None else skeleton(t)) for f, k, v in zip(b["field"], b["rec_key"], b["value"]) for t in dict.fromkeys(tokens(v)) or [None]]
             yield pd.DataFrame(rows, columns=["field", "rec_key", "value", "token", "skeleton"])
 
-    pieces = odd.mapInPandas(split, "field string, rec_key string, value string, token string, skeleton string")
+    pieces = materialize(odd.mapInPandas(split, "field string, rec_key string, value string, token string, skeleton string"), "tokens")
     known = spellings(pieces.where("token IS NOT NULL"), vocabulary(values, "value"))
     rows = pieces.join(known, "token", "left").groupBy("field", "rec_key", "value").agg(F.collect_list(F.when(F.col("canonical").isNotNull(), F.struct("token", "canonical"))).alias("known"))
 

@@ -5,8 +5,9 @@ whatever the number of documents. Best fit over counts: the longest length left
 the longest length that fits, until nothing does; the container so found is repeated as often as the counts allow.
 Documents then take the planned slots by joining on their rank within their length.
 
-Ranks are counted within (length, chunk) with the sums of earlier chunks added, so a length that a third of all
-documents share is spread over all chunks.
+Ranks are counted within (length, chunk) with the sums of earlier chunks added. Every piece has a row number of its own
+and chunks are dealt out by it, one chunk for about ``CHUNK_ROWS`` pieces, so neither a length nor a document that a
+third of all rows share is ever in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from mathloom.sources.shared import materialize
 
 CAPACITY = 4096
-CHUNKS = 256
+CHUNK_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -94,12 +95,14 @@ def pack(sizes: DataFrame, key: str = "doc_id", tokens: str = "tokens", capacity
     by itself; an empty table gives no rows; other columns are left out.
     """
     rows = pieces(sizes.select(F.col(key), F.coalesce(F.col(tokens), F.lit(0)).alias(tokens)), key, tokens, capacity)
-    rows = materialize(rows.withColumn("chunk", F.pmod(F.xxhash64(key, "piece"), F.lit(CHUNKS)).cast("int")), "pieces")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    chunks = max(1, -(-rows.count() // CHUNK_ROWS))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
     parts = rows.groupBy("tokens", "chunk").agg(F.count("*").alias("n"))
     before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("tokens").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).select("tokens", "chunk", F.coalesce("before", F.lit(0)).alias("before"))
     histogram = parts.groupBy("tokens").agg(F.sum("n").alias("n")).collect()  # at most capacity + 1 rows
     slots = rows.sparkSession.sparkContext.broadcast(plan({r["tokens"]: r["n"] for r in histogram}, capacity))
-    local = F.row_number().over(Window.partitionBy("tokens", "chunk").orderBy(key, "piece")) - 1
+    local = F.row_number().over(Window.partitionBy("tokens", "chunk").orderBy("row")) - 1
     # keys pass Python as text: a null among them would make floats of large integers
     ranked = rows.withColumn("local", local).join(before, ["tokens", "chunk"]).select(F.col(key).cast("string").alias(key), "piece", "tokens", (F.col("local") + F.col("before")).alias("rank"))
 
