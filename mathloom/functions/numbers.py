@@ -17,13 +17,15 @@ def to_double(c: Column) -> Column:
 
 
 def float_text(d: Column, point: bool = False) -> Column:
-    """Shortest decimal text of a double; whole numbers without a point, or with ``.0`` if ``point``."""
-    whole = d.try_cast("decimal(38,0)").cast("string")
+    """Shortest decimal text of a double; whole numbers without a point, or with ``.0`` if ``point``. Whole numbers of
+    19 digits and more have zeros after the digits that tell them from other doubles."""
+    exact = F.when(F.abs(d) < float(1 << 63), d.try_cast("bigint").cast("string"))
+    whole = F.coalesce(exact, d.try_cast("decimal(38,0)").cast("string"), F.when(F.abs(d) < float("inf"), F.format_string("%.0f", d)))
     if point:
         whole = F.concat(whole, F.lit(".0"))
     wide = F.regexp_replace(d.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
     java = (F.abs(d) >= 1e-3) & (F.abs(d) < 1e7)
-    return F.when(d == F.floor(d), whole).when(java, d.cast("string")).otherwise(wide)
+    return F.when(d == F.rint(d), whole).when(java, d.cast("string")).otherwise(wide)
 
 
 def normalize_answer(c: Column) -> Column:
@@ -83,12 +85,19 @@ def decimals(c: Column) -> Column:
     return F.coalesce(F.char_length(F.get(F.split(strip(c), r"\."), 1)), F.lit(0))
 
 
+def rounded(a: Column, places: Column) -> Column:
+    """A double to ``places`` decimals, a column; as it is where it has no more."""
+    scale = F.pow(F.lit(10.0), places)
+    return F.when(F.abs(a) * scale < float(1 << 53), F.rint(a * scale) / scale).otherwise(a)
+
+
 def round_match(a: Column, b: Column, places: Column, most: int = 12) -> Column:
-    """Two doubles equal when rounded to ``places``, a column. Ties of decimals that binary can't hold may differ."""
+    """Two doubles equal when rounded to ``places``, a column. Ties of decimals that binary can't hold may differ; over
+    ``most`` places they are those of the scaled doubles."""
     same = F.when(places == 0, F.bround(a, 0) == F.bround(b, 0))
     for k in range(1, most + 1):
         same = same.when(places == k, F.bround(a, k) == F.bround(b, k))
-    return F.coalesce(same.otherwise(a == b), F.lit(False))
+    return F.coalesce(same.otherwise(rounded(a, places) == rounded(b, places)), F.lit(False))
 
 
 def with_round_match(df: DataFrame, out: str, pred: str, gold: str) -> DataFrame:

@@ -47,6 +47,11 @@ def sanitize_question(c: Column) -> Column:
     return F.btrim(strip(c), F.lit('"'))
 
 
+def sanitize_parts(parts: Column) -> Column:
+    """A question given as a list of texts: joined, then sanitized; nulls in the list are left out."""
+    return sanitize_question(F.array_join(parts, ""))
+
+
 def plain_digits(c: Column) -> Column:
     return F.translate(c, DIGITS, ASCII_DIGITS)
 
@@ -56,25 +61,24 @@ def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(rf"({D}+\.?{D}*)"), F.lit(1))
 
 
-def variant_text(v: str, depth: int = 3) -> str:
+def variant_text(v: str, depth: int = 8) -> str:
     """SQL expression: text of a VARIANT that may be a string, a list of parts or a block with text or content.
 
     Lists are joined by line ends, blocks give their text, else their content, else themselves as JSON; null is "".
-    Nesting is followed ``depth`` levels down, deeper parts are kept as JSON.
+    A list and a block are both taken as a list of children, so the expression grows by one step a level; nesting is
+    followed ``depth`` levels down, deeper parts are kept as JSON.
     """
     kind = f"schema_of_variant({v})"
     plain = f"WHEN {v} IS NULL OR is_variant_null({v}) THEN '' WHEN {kind} = 'STRING' THEN variant_get({v}, '$', 'string')"
     if depth <= 0:
         return f"CASE {plain} ELSE to_json({v}) END"
     part = f"x{depth}"
-    inner = variant_text(part, depth - 1)
-    block = lambda k: f"variant_get({v}, '$.{k}', 'variant')"
-    has = lambda k: f"try_variant_get({v}, '$.{k}', 'variant') IS NOT NULL"
+    block = lambda k: f"try_variant_get({v}, '$.{k}', 'variant')"
+    child = f"coalesce({block('text')}, {block('content')})"
+    children = f"CASE WHEN {kind} LIKE 'ARRAY%' THEN variant_get({v}, '$', 'array<variant>') ELSE array({child}) END"
     return (
-        f"CASE {plain} WHEN {kind} LIKE 'ARRAY%' THEN array_join(transform(variant_get({v}, '$', 'array<variant>'), {part} -> {inner}), '\\n') "
-        f"WHEN {kind} LIKE 'OBJECT%' AND {has('text')} THEN {variant_text(block('text'), depth - 1) if depth > 1 else 'to_json(' + block('text') + ')'} "
-        f"WHEN {kind} LIKE 'OBJECT%' AND {has('content')} THEN {variant_text(block('content'), depth - 1) if depth > 1 else 'to_json(' + block('content') + ')'} "
-        f"ELSE to_json({v}) END"
+        f"CASE {plain} WHEN {kind} LIKE 'ARRAY%' OR ({kind} LIKE 'OBJECT%' AND {child} IS NOT NULL) "
+        f"THEN array_join(transform({children}, {part} -> {variant_text(part, depth - 1)}), '\\n') ELSE to_json({v}) END"
     )
 
 

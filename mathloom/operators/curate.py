@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mathloom.functions.numbers import float_text
+from mathloom.functions.numbers import float_text, rounded, to_double
 from mathloom.functions.prompts import STEPWISE, tagged
 from mathloom.functions.text import D, numbers, present
 
@@ -31,13 +31,14 @@ def preference_pairs(cot: DataFrame) -> DataFrame:
 def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Dense position (from 1) in a total order, without one task for all rows.
 
-    Rows are range-partitioned and sorted; the counts of earlier partitions, one row a partition, are added to each
-    row's position in its own. ``order`` must be total for the result to be the same each time.
+    Rows are range-partitioned and sorted in one shuffle and numbered as they stand (a row's number holds its partition
+    in the high bits); the counts of earlier partitions, one row a partition, are added to each row's position in its
+    own. ``order`` must be total for the result to be the same each time.
     """
     from mathloom.sources.shared import materialize
 
-    placed = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    placed = materialize(placed.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "ranked")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranked").withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1}).drop("_id")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
@@ -58,13 +59,11 @@ def eligible(question: Column) -> Column:
 def perturbed(number: Column, draw: Column, ratio: float) -> Column:
     """The number moved by up to ``ratio`` of itself, as ``draw`` in [0, 1) says: whole stays whole and at least 1,
     decimals keep their places; 0 becomes 1 to 10."""
-    v = number.try_cast("double")
+    v = to_double(number)
     new = v + v * ratio * (draw * 2 - 1)
     whole = F.greatest(F.lit(1).cast("bigint"), F.bround(new, 0).cast("bigint")).cast("string")
     places = F.char_length(F.element_at(F.split(number, r"\."), -1))
-    text = float_text(F.bround(new, 1), point=True)
-    for k in range(2, 7):
-        text = F.when(places >= k, float_text(F.bround(new, k), point=True)).otherwise(text)
+    text = float_text(rounded(new, F.when(F.contains(number, F.lit(".")), places).otherwise(F.lit(0))), point=True)
     return F.when(v.isNull(), number).when(v == 0, (F.floor(draw * 10) + 1).cast("string")).when(number.contains("."), text).otherwise(whole)
 
 

@@ -13,8 +13,8 @@ from mathloom.functions.text import strip, variant_text
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     """(pos, v VARIANT): the elements of one JSON array, in file order; a missing field stays apart from a null one."""
-    spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path).createOrReplaceTempView("_json_array")
-    return spark.sql("SELECT pos, value AS v FROM _json_array, LATERAL variant_explode(v)")
+    whole = spark.read.option("multiLine", True).option("singleVariantColumn", "v").json(path)
+    return whole.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("pos", F.col("value").alias("v"))
 
 
 def read_problems(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +82,11 @@ def resume(spark: SparkSession, rows: DataFrame, path: str, key: str = "id") ->
 
 
 def latest_checkpoint(path: str) -> str | None:
-    """The folder itself if it is there; else the highest checkpoint-N beside (for best) or in it; else None."""
-    if os.path.isdir(path) and os.listdir(path) and os.path.basename(path.rstrip("/")) == "best":
+    """The folder itself if it holds an adapter's configuration; else the highest checkpoint-N in it (beside it, if it
+    is named best); else None."""
+    path = path.rstrip("/")
+    if os.path.isfile(os.path.join(path, "adapter_config.json")):
         return path
-    folder = os.path.dirname(path.rstrip("/")) if os.path.basename(path.rstrip("/")) == "best" else path
-    found = [(int(m.group(1)), x) for x in (os.listdir(folder) if os.path.isdir(folder) else []) if (m := re.fullmatch(r"checkpoint-(\d+)", x))]
-    if found:
-        return os.path.join(folder, max(found)[1])
-    return path if os.path.isdir(path) else None
+    folder = os.path.dirname(path) if os.path.basename(path) == "best" else path
+    found = [(int(m.group(1)), x) for x in (os.listdir(folder) if os.path.isdir(folder) else []) if (m := re.fullmatch(r"checkpoint-(\d+)", x)) and os.path.isdir(os.path.join(folder, x))]
+    return os.path.join(folder, max(found)[1]) if found else None

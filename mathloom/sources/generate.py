@@ -19,15 +19,19 @@ def stub(prompts: Sequence[str]) -> list[str | None]:
 
 
 def with_retries(generate: Generator, attempts: int = 3, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Generator:
-    """Try again after 1, 2, 4 ... seconds; after the last attempt every reply is null."""
+    """Try again after 1, 2, 4 ... seconds. A batch that still fails is halved, so that only the prompts that fail by
+    themselves have a null reply."""
 
     def run(prompts: Sequence[str]) -> Sequence[str | None]:
         for i in range(attempts):
             try:
-                return generate(prompts)
+                return list(generate(prompts))
             except Exception:  # noqa: BLE001 - whatever a client raises
                 sleep(base * 2**i)
-        return [None] * len(prompts)
+        if len(prompts) < 2:
+            return [None] * len(prompts)
+        half = len(prompts) // 2
+        return [*run(prompts[:half]), *run(prompts[half:])]
 
     return run
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,9 +13,12 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests, local mode)."""
+    """The folder the session names in spark.checkpoint.dir. Only a local master may do without: it gets a temporary one;
+    on a cluster each executor would write to a disk of its own, so that is an error."""
     path = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_CONF} to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mathloom-")
         spark.conf.set(_CONF, path)
     return path.rstrip("/")
@@ -28,16 +33,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def discard(spark: SparkSession) -> int:
-    """Remove the tables this process wrote, once their results have been read; returns how many there were."""
+def discard(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables this process wrote (but the first ``keep``), once their results have been read; returns how
+    many there were."""
     jvm = spark.sparkContext._jvm
-    n = len(_WRITTEN)
-    while _WRITTEN:
+    n = len(_WRITTEN) - keep
+    while len(_WRITTEN) > keep:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is removed at the end, whatever happens; results must have been read or written by then."""
+    keep = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        discard(spark, keep)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a stage that lost executors cannot undo."""
     path = new_path(df.sparkSession, name)
