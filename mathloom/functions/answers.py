@@ -11,14 +11,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.functions.numbers import float_text, to_double
+from mathloom.functions.numbers import drawn, float_text, to_double
 from mathloom.functions.text import NUM, D, S, strip
 
 # Units taken out of an answer, in this order: 米 goes before 厘米, so order matters (fixed values).
 UNITS = (
-    "千克 公斤 克 吨 米 厘米 毫米 千米 公里 平方米 平方厘米 立方米 元 角 分 块 个 只 条 本 台 辆 棵 支 张 把 "
-    "小时 分钟 秒 天 年 月 周 人 名 位 双 对 箱 盒 包 瓶 页 km m cm mm kg g"
-).split()
+    "千克", "公斤", "克", "吨", "米", "厘米", "毫米", "千米", "公里", "平方米", "平方厘米", "立方米",
+    "元", "角", "分", "块", "个", "只", "条", "本", "台", "辆", "棵", "支", "张", "把",
+    "小时", "分钟", "秒", "天", "年", "月", "周", "人", "名", "位", "双", "对", "箱", "盒", "包", "瓶", "页",
+    "km", "m", "cm", "mm", "kg", "g",
+)
 # Patterns and the names of their levels (fixed values); the last one takes the last match, the others the first.
 LEVELS = (
     (rf"(?s)<answer>{S}*(.*?){S}*</answer>", "标签匹配"),
@@ -97,10 +99,15 @@ def split_steps(c: Column) -> Column:
     return F.when(strip(F.coalesce(c, F.lit(""))) == "", empty).when(F.size(marks) >= 3, marks).when(F.size(lines) >= 3, lines).when(F.size(sentences) >= 2, sentences).otherwise(F.array(strip(c)))
 
 
+def first_steps(steps: Column, n: Column) -> Column:
+    """The first n steps, joined by line ends; null without n."""
+    return F.array_join(F.slice(steps, F.lit(1), n), "\n")
+
+
 def error_prefix(steps: Column, key: Column, seed: int = 42) -> tuple[Column, Column]:
-    """(number of steps kept, those steps joined by line ends), drawn by a hash of the key; null under two steps."""
-    n = F.when(F.size(steps) >= 2, (F.pmod(F.xxhash64(key, F.lit(seed)), F.size(steps) - 1) + 1).cast("int"))
-    return n, F.array_join(F.slice(steps, F.lit(1), n), "\n")
+    """(number of steps kept, those steps joined by line ends), drawn by key and seed; null under two steps."""
+    n = F.when(F.size(steps) >= 2, (F.floor(drawn(F.lit(seed), key) * (F.size(steps) - 1)) + 1).cast("int"))
+    return n, first_steps(steps, n)
 
 
 def continued(content: Column) -> Column:

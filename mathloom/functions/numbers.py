@@ -53,6 +53,12 @@ def with_match(df: DataFrame, out: str, a: str, b: str, tol: float = TOLERANCE)
     return staged.withColumn(out, same).drop("_a", "_b", "_va", "_vb")
 
 
+def drawn(*parts: Column) -> Column:
+    """A number in [0, 1) by the MD5 of the parts: the same on every engine and every run."""
+    text = F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint").cast("double") / float(1 << 48)
+
+
 _FRACTION, _PERCENT, _PLAIN = rf"^-?{D}+/{D}+$", rf"^-?{D}+\.?{D}*%$", rf"^-?{D}+\.?{D}*$"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mathloom.functions.numbers import float_text, rounded, to_double
+from mathloom.functions.numbers import drawn, float_text, rounded, to_double
 from mathloom.functions.prompts import STEPWISE, tagged
 from mathloom.functions.text import D, numbers, present
 
@@ -45,10 +45,9 @@ def with_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFra
 
 
 def split(df: DataFrame, key: str, val_ratio: float = 0.1, seed: int = 42) -> DataFrame:
-    """Add ``split``: exactly int(n * (1 - ratio)) rows are train, the rest val, drawn by a hash of key and seed."""
-    n = df.count()
-    head = int(n * (1 - val_ratio))
-    ranked = with_rank(df, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)])
+    """Add ``split``: exactly int(n * (1 - ratio)) rows are train, the rest val, drawn by key and seed."""
+    ranked = with_rank(df, [drawn(F.lit(seed), F.col(key)), F.col(key)])
+    head = int(ranked.count() * (1 - val_ratio))  # counted over the table just written
     return ranked.withColumn("split", F.when(F.col("rank") <= head, "train").otherwise("val")).drop("rank")
 
 
@@ -61,14 +60,14 @@ def perturbed(number: Column, draw: Column, ratio: float) -> Column:
     decimals keep their places; 0 becomes 1 to 10."""
     v = to_double(number)
     new = v + v * ratio * (draw * 2 - 1)
-    whole = F.greatest(F.lit(1).cast("bigint"), F.bround(new, 0).cast("bigint")).cast("string")
+    whole = F.greatest(F.lit(1).cast("bigint"), F.rint(new).cast("bigint")).cast("string")
     places = F.char_length(F.element_at(F.split(number, r"\."), -1))
     text = float_text(rounded(new, F.when(F.contains(number, F.lit(".")), places).otherwise(F.lit(0))), point=True)
     return F.when(v.isNull(), number).when(v == 0, (F.floor(draw * 10) + 1).cast("string")).when(number.contains("."), text).otherwise(whole)
 
 
 def augment(df: DataFrame, copies: int = 1, ratio: float = 0.3, seed: int = 42, start: int | None = None) -> DataFrame:
-    """``copies`` of each row with two numbers or more, every number of the question redrawn by hash.
+    """``copies`` of each row with two numbers or more, every number of the question redrawn by id, copy and place.
 
     New ids go on from ``start`` (the number of rows), in the order of the old ones. The answer is left empty.
     """
@@ -78,7 +77,7 @@ def augment(df: DataFrame, copies: int = 1, ratio: float = 0.3, seed: int = 42,
     pieces = F.split(F.col("question"), rf"{D}+\.?{D}*", -1)
 
     def draw(i: Column) -> Column:
-        return F.pmod(F.xxhash64("id", "_copy", i, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
+        return drawn(F.lit(seed), F.col("id"), F.col("_copy"), i)
 
     fresh = F.transform("_found", lambda x, i: perturbed(x, draw(i), ratio))
     text = F.array_join(F.zip_with("_pieces", F.concat(fresh, F.array(F.lit(""))), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")

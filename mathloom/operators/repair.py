@@ -70,7 +70,7 @@ def recycle(df: DataFrame) -> DataFrame:
 def apply_right(df: DataFrame, replies: DataFrame) -> DataFrame:
     """First phase: put new solutions (id, new_cot, new_answer) into recycled rows; a reply without answer changes nothing.
 
-    A recycled row whose new answer is the wrong one again is marked ``ground_truth_suspect`` and loses its wrong part.
+    ``solved`` tells whether a row got a new answer. A recycled row whose new answer is the wrong one again is marked ``ground_truth_suspect`` and loses its wrong part.
     """
     j = df.join(replies.select("id", "new_cot", "new_answer"), "id", "left").withColumn("_got", filled(F.col("new_answer")))
     j = j.withColumn("_match", answers_match(F.col("new_answer"), F.col("answer")))
@@ -86,6 +86,7 @@ def apply_right(df: DataFrame, replies: DataFrame) -> DataFrame:
             "wrong_cot": sus("", "wrong_cot"),
             "wrong_answer": sus("", "wrong_answer"),
             "wrong_status": sus("ground_truth_suspect", "wrong_status"),
+            "solved": F.col("_got"),
         }
     )
     return out.drop("new_cot", "new_answer", "_got", "_match", "_suspect")
@@ -97,10 +98,40 @@ def accepted_wrong(answer: str, gold: str):
 
 
 def apply_wrong(df: DataFrame, replies: DataFrame, status: str) -> DataFrame:
-    """Later phases: put accepted wrong solutions (id, new_cot, new_answer) in place under ``status``."""
-    j = df.join(replies.select("id", "new_cot", "new_answer"), "id", "left").withColumn("_ok", accepted_wrong("new_answer", "answer"))
+    """Later phases: put accepted wrong solutions (id, new_cot, new_answer) in place under ``status``.
+
+    Replies with a ``new_step`` (from which step on they are wrong) set ``wrong_error_step``; others null it, if it is
+    a column of the table.
+    """
+    stepped = "new_step" in replies.columns
+    new = ["new_cot", "new_answer", *(["new_step"] if stepped else [])]
+    j = df.join(replies.select("id", *new), "id", "left").withColumn("_ok", accepted_wrong("new_answer", "answer"))
     put = lambda v, c: F.when(F.col("_ok"), v).otherwise(F.col(c))
-    return j.withColumns({"wrong_cot": put(F.col("new_cot"), "wrong_cot"), "wrong_answer": put(F.col("new_answer"), "wrong_answer"), "wrong_status": put(F.lit(status), "wrong_status")}).drop("new_cot", "new_answer", "_ok")
+    out = {"wrong_cot": put(F.col("new_cot"), "wrong_cot"), "wrong_answer": put(F.col("new_answer"), "wrong_answer"), "wrong_status": put(F.lit(status), "wrong_status")}
+    if stepped or "wrong_error_step" in df.columns:
+        old = F.col("wrong_error_step") if "wrong_error_step" in df.columns else F.lit(None).cast("int")
+        out["wrong_error_step"] = F.when(F.col("_ok"), F.col("new_step") if stepped else F.lit(None).cast("int")).otherwise(old)
+    return j.withColumns(out).drop(*new, "_ok")
+
+
+def counters(df: DataFrame) -> DataFrame:
+    """One row about a repaired table that still has ``repair_type``, ``phase``, ``recycled`` and ``solved``: rows to
+    repair, rows solved again, recycled, suspected, wrong solutions by simple and hard prompts, all fixed, still failed."""
+    status = F.coalesce("wrong_status", F.lit(""))
+    open_ = F.col("repair_type") != "ok"
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    row = df.agg(
+        n(open_).alias("failures"),
+        n(F.col("phase") == 1).alias("phase1"),
+        n((F.col("phase") == 1) & F.col("solved")).alias("solved"),
+        n(F.col("recycled")).alias("recycled"),
+        n((F.col("phase") == 1) & (status == "ground_truth_suspect")).alias("suspect"),
+        n(open_ & status.startswith("simple_try")).alias("simple"),
+        n(open_ & (status == "hard_fallback")).alias("hard"),
+        n((F.col("repair_type") == "A") & F.coalesce(F.col("status") != "ok", F.lit(True))).alias("still_failed_right"),
+        n(open_ & (status == "failed")).alias("still_failed_wrong"),
+    )
+    return row.withColumn("fixed", F.col("solved") + F.col("simple") + F.col("hard"))
 
 
 def retry_rows(df: DataFrame) -> DataFrame:

@@ -1,10 +1,21 @@
-"""SQL twins of the core functions for DuckDB, written apart from the Column code they check."""
+"""SQL twins of the core functions for DuckDB, written apart from the Column code they check: nothing is imported from
+it, the fixed values are stated again."""
 
 from __future__ import annotations
 
-from mathloom.functions.answers import EMPTY, FALLBACK, UNITS
-from mathloom.functions.rewards import BASIC, STRUCTURE, TAGS
-from mathloom.functions.text import ASCII_DIGITS, BLANKS, DIGITS
+# Fixed values.
+UNITS = "千克 公斤 克 吨 米 厘米 毫米 千米 公里 平方米 平方厘米 立方米 元 角 分 块 个 只 条 本 台 辆 棵 支 张 把 小时 分钟 秒 天 年 月 周 人 名 位 双 对 箱 盒 包 瓶 页 km m cm mm kg g".split(" ")
+EMPTY, FALLBACK = "空输出", "兜底清理"
+BASIC = ("即", "所以", "因此", "得到", "那么")
+STRUCTURE = ("首先", "已知", "题意", "设", "因为", "由于", "根据")
+TAGS = ("<think>", "</think>", "<answer>", "</answer>")
+STEPWISE = "请一步一步思考，然后给出数字答案。"
+DIRECT = "请直接输出数字答案，不带单位。"
+SYSTEM = "这是一道小学数学应用题。请你一步一步仔细思考，列出详细的解题过程，最后给出一个纯数字答案。\n请用以下格式回答：\n<think>你的推理过程</think>\n<answer>纯数字答案</answer>"
+# What Python's isspace and isdecimal say, by rule.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+DIGITS = "".join(c for c in map(chr, range(128, 0x1FC00)) if c.isdecimal())
+ASCII_DIGITS = "".join(str(int(c)) for c in DIGITS)
 
 N = r"-?\p{Nd}+\.?\p{Nd}*(?:/\p{Nd}+\.?\p{Nd}*)?%?"
 W = f"[{BLANKS}]"
@@ -31,6 +42,12 @@ def shown(d: str, point: str = "") -> str:
     return f"(CASE WHEN {d} = floor({d}) THEN try_cast({d} AS DECIMAL(38,0))::VARCHAR || {q(point)} ELSE {d}::VARCHAR END)"
 
 
+def drawn(*parts: str) -> str:
+    """A number in [0, 1) by the MD5 of the parts."""
+    text = " || '|' || ".join(f"coalesce(({p})::VARCHAR, '')" for p in parts)
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT::DOUBLE / 281474976710656::DOUBLE)"
+
+
 def first(x: str, pattern: str, options: str = "") -> str:
     return f"regexp_extract({x}, {q(pattern)}, 1{', ' + q(options) if options else ''})"
 
@@ -46,10 +63,14 @@ def clean(x: str, units: bool) -> str:
     return strip(t)
 
 
+def finish(m: str) -> str:
+    """Percentages and fractions as they are, numbers in normal form."""
+    return f"CASE WHEN regexp_matches({m}, '^-?\\p{{Nd}}+\\.?\\p{{Nd}}*%$') OR regexp_matches({m}, '^-?\\p{{Nd}}+\\.?\\p{{Nd}}*/\\p{{Nd}}+\\.?\\p{{Nd}}*$') THEN {m} ELSE coalesce({shown(number(m))}, {m}) END"
+
+
 def extract_ctes(source: str, text: str, keep: str) -> str:
     """CTE ``extracted`` with the kept columns, extracted and level."""
     kept = ", ".join(keep.split())
-    finish = lambda m: f"CASE WHEN regexp_matches({m}, '^-?\\p{{Nd}}+\\.?\\p{{Nd}}*%$') OR regexp_matches({m}, '^-?\\p{{Nd}}+\\.?\\p{{Nd}}*/\\p{{Nd}}+\\.?\\p{{Nd}}*$') THEN {m} ELSE coalesce({shown(number(m))}, {m}) END"
     return f"""
 x0 AS (SELECT {kept}, coalesce({text}, '') AS raw, {strip(f"coalesce({text}, '')")} AS t FROM {source}),
 x1 AS (SELECT *, {clean(first("t", f"<answer>{W}*(.*?){W}*</answer>", "s"), True)} AS a0, {first("t", f"答案[是为：:]{W}*({N})")} AS a1,

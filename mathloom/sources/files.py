@@ -56,16 +56,19 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def write_pretty_array(df: DataFrame, path: str) -> None:
-    """One indented JSON array, for small exports: rows are streamed through the driver one partition at a time."""
+    """One indented JSON array at a path or URI, for small exports: rows are streamed through the driver one partition at a time."""
     import json
 
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    import pyarrow.fs as fs
+
+    where, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+    where.create_dir(os.path.dirname(inside))
+    with where.open_output_stream(inside) as f:
+        f.write(b"[")
         for i, row in enumerate(df.toLocalIterator()):
             item = json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2)
-            f.write(("," if i else "") + "\n  " + item.replace("\n", "\n  "))
-        f.write("\n]\n")
+            f.write(((",\n  " if i else "\n  ") + item.replace("\n", "\n  ")).encode())
+        f.write(b"\n]\n")
 
 
 def resume(spark: SparkSession, rows: DataFrame, path: str, key: str = "id") -> tuple[DataFrame, DataFrame | None]:
