@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 DIRECT = "请直接输出数字答案，不带单位。"
 STEPWISE = "请一步一步思考，然后给出数字答案。"
@@ -49,6 +51,28 @@ def chatml(question: Column, instruction: Column) -> Column:
     return F.concat(F.lit("<|im_start|>system\n"), instruction, F.lit("<|im_end|>\n<|im_start|>user\n"), question, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
 
 
+def rendered(messages: Column, generate: bool = True) -> Column:
+    """Messages of any number in the ChatML form, with the opening of the reply if one is to be generated."""
+    each = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n")))
+    return F.concat(F.array_join(each, ""), F.lit("<|im_start|>assistant\n" if generate else ""))
+
+
+def with_template(df: DataFrame, messages: str, make: Callable[[], Callable[[list[dict]], str]], out: str = "prompt") -> DataFrame:
+    """Add the messages as a tokenizer's own chat template renders them. ``make`` builds the renderer (for instance a
+    tokenizer's ``apply_chat_template``) once a task; rows go through it in Arrow batches."""
+    kept = [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        render = None
+        for b in batches:
+            render = render or make()
+            b[out] = [None if m is None else render([x if isinstance(x, dict) else x.asDict() for x in m]) for m in b[messages]]
+            yield b
+
+    schema = StructType([*(df.schema[c] for c in kept), StructField(out, StringType())])
+    return df.select(*kept).mapInPandas(run, schema)
+
+
 def tagged(reasoning: Column, answer: Column) -> Column:
     return F.concat(F.lit("<think>"), reasoning, F.lit("</think><answer>"), answer, F.lit("</answer>"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mathloom.functions.answers import with_extracted_answer
@@ -68,6 +70,24 @@ def with_rewards(df: DataFrame, text: str, gold: str, question: str) -> DataFram
     return staged.withColumn("reward", total).drop("_c", "_e", "_l", "_p", "_g", "_r")
 
 
+def reward_functions(spark: SparkSession, parts: Sequence[str] = PARTS) -> list[Callable[..., list[float]]]:
+    """The scores as functions that a trainer can take: each gets lists of completions (texts, or lists of messages),
+    answers and prompts of one batch and gives a list of numbers in the same order. They run the same Column code."""
+
+    def one(part: str) -> Callable[..., list[float]]:
+        def score(completions: Sequence, answer: Sequence[str | None] | None = None, prompt: Sequence[str | None] | None = None, **_) -> list[float]:
+            n = len(completions)
+            text = [c if c is None or isinstance(c, str) else (c[0].get("content") or "" if c else "") for c in completions]
+            rows = list(zip(range(n), text, answer or [None] * n, prompt or [None] * n))
+            df = spark.createDataFrame(rows, "i int, completion string, answer string, question string").coalesce(1)
+            return [r[0] for r in with_rewards(df, "completion", "answer", "question").orderBy("i").select(part).collect()]
+
+        score.__name__ = f"{part}_reward"
+        return score
+
+    return [one(p) for p in parts]
+
+
 def with_legacy_reward(df: DataFrame, text: str, gold: str, format_weight: float = 0.2, correctness_weight: float = 1.0, pattern: str = r"(?s)<think>.*?</think>\s*<answer>.*?</answer>") -> DataFrame:
     """Add ``legacy_reward``: weighted format match and equality of the normal forms."""
     staged = with_normal(with_extracted_answer(df, text, "_e", "_l"), _p="_e", _g=gold)

@@ -426,6 +426,28 @@ def token_labels(spark, d):
     return rows.select("pos", F.size(token["input_ids"]).alias("n"), F.size(F.filter(token["labels"], lambda x: x == prompts.IGNORED)).alias("ignored"))
 
 
+_IDS = lambda x: f"(CASE WHEN {x} = '' THEN []::INT[] ELSE list_transform(range(1, length({x}) + 1), lambda i: unicode(substr({x}, i, 1))) END)"
+
+
+@_query(
+    f"""WITH t AS (SELECT pos, {_CHATML} AS p, {_RESPONSE} AS r FROM train_cot_raw), i AS (SELECT pos, {_IDS('p')} AS p, {_IDS('r')} || [0] AS r FROM t)
+SELECT pos, array_to_string((p || r)[1:256], ' ') AS input_ids, array_to_string((list_transform(p, lambda x: -100) || r)[1:256], ' ') AS labels, least(len(p) + len(r), 256)::INT AS attention FROM i"""
+)
+def token_rows(spark, d):
+    """Token rows in full, under a tokenizer of one token a character, cut to 256."""
+    codes = lambda c: F.when(c == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(c, ""), lambda x: F.ascii(x)))
+    rows = _training_texts(spark, d).withColumns({"p": codes(F.col("prompt")), "r": codes(F.col("response"))})
+    token = prompts.token_row(F.col("p"), F.col("r"), 0, 256)
+    shown = lambda x: F.array_join(F.transform(x, lambda i: i.cast("string")), " ")
+    return rows.select("pos", shown(token["input_ids"]).alias("input_ids"), shown(token["labels"]).alias("labels"), F.aggregate(token["attention_mask"], F.lit(0), lambda a, x: a + x).alias("attention"))
+
+
+@_query(f"SELECT DISTINCT id, '<|im_start|>system' || chr(10) || {_SYSTEM} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || coalesce(question, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM test")
+def rendered_chats(spark, d):
+    t = _table(spark, d, "test").select("id", F.coalesce("question", F.lit("")).alias("question")).distinct()
+    return t.select("id", prompts.rendered(prompts.zero_shot(F.col("question"))).alias("prompt"))
+
+
 # ---- order, profile
 
 
