@@ -37,13 +37,15 @@ _GOLD = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class PathJoin:
-    """Parameters. ``trials`` first-level coordinates, ``branch`` children below; nodes over ``node_limit`` rows branch
-    on, at most ``depth`` times; then they are compared in blocks, whatever their size."""
+    """Parameters. ``trials`` first-level coordinates, ``branch`` children below; paths of which more than ``expected``
+    records are expected, and nodes that turn out to have over ``node_limit`` rows, branch on, at most ``depth`` times;
+    then they are compared in blocks, whatever their size."""
 
     threshold: float = 0.6
     trials: int = 20
     branch: int = 2
-    node_limit: int = 512
+    expected: int = 512
+    node_limit: int = 2048
     depth: int = 6
     theta: float = 2e-4
     least_common: int = 20
@@ -189,7 +191,7 @@ def _children(rows: pd.DataFrame, common: Common, p: PathJoin, level: int) -> pd
     def give(low: np.ndarray, rare: np.ndarray, parent: np.ndarray, seed: np.uint64, who: np.ndarray, left: np.ndarray, below: int) -> None:
         node = (mix(low ^ mix(parent + seed)) & ~_SIZES) | size[who]
         left = np.where(rare == _RARE, 0.0, left - rare.astype(np.int64) / 8)
-        on = (left > np.log2(p.node_limit)) if below < p.depth else np.zeros(len(who), bool)
+        on = (left > np.log2(p.expected)) if below < p.depth else np.zeros(len(who), bool)
         if on.any():
             descend(who[on], node[on] & ~_SIZES, left[on], below + 1)
             node, who = node[~on], who[~on]
