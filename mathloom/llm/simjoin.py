@@ -37,12 +37,13 @@ _GOLD = 0x9E3779B97F4A7C15
 
 @dataclass(frozen=True)
 class PathJoin:
-    """Parameters. ``trials`` first-level coordinates, ``branch`` children below; paths of which more than ``expected``
-    records are expected, and nodes that turn out to have over ``node_limit`` rows, branch on, at most ``depth`` times;
-    then they are compared in blocks, whatever their size."""
+    """Parameters. ``trials`` first-level coordinates; paths of which more than ``expected`` records are expected walk on
+    to one more child each time (a trial more is worth as much as a second child, and costs less); nodes that turn out to
+    have over ``node_limit`` rows branch on to ``branch`` children, at most ``depth`` times; then they are compared in
+    blocks, whatever their size."""
 
     threshold: float = 0.6
-    trials: int = 20
+    trials: int = 22
     branch: int = 2
     expected: int = 512
     node_limit: int = 2048
@@ -182,7 +183,7 @@ def _children(rows: pd.DataFrame, common: Common, p: PathJoin, level: int) -> pd
         at = np.repeat(offsets[who] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         bounds = np.r_[0, np.cumsum(k)]
         own_h, own_weight, own_rarity = h[at], weight[at], rarity[at]
-        for i in range(p.branch):
+        for i in range(p.branch if level else 1):
             seed = np.uint64((below * 64 + i + 1) * _GOLD & _EMPTY)
             own = np.repeat(mix(parent ^ seed) | np.uint64(1), k)
             low, rare = lowest((own_h * own).astype(np.float64) * own_weight, bounds, own_rarity)
