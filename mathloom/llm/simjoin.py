@@ -46,7 +46,7 @@ class PathJoin:
     trials: int = 22
     branch: int = 2
     expected: int = 512
-    node_limit: int = 2048
+    node_limit: int = 4096
     depth: int = 6
     theta: float = 2e-4
     least_common: int = 20
