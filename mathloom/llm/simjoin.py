@@ -43,7 +43,7 @@ class PathJoin:
     blocks, whatever their size."""
 
     threshold: float = 0.6
-    trials: int = 22
+    trials: int = 26
     branch: int = 2
     expected: int = 512
     node_limit: int = 4096
