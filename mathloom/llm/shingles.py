@@ -78,17 +78,31 @@ def segment_min(values: np.ndarray, offsets: np.ndarray, empty: int) -> np.ndarr
 def counted(batches: Iterator[np.ndarray], most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(code, count) of the codes of all batches, summed up while no more than ``most`` distinct ones are held.
 
-    Codes met once since the last hand-over are left out, so a count is short by the number of hand-overs at most.
+    Nothing is left out: what a task can't hold is summed in the shuffle, so the sums don't depend on the partitions.
     """
     codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
     for new in batches:
-        u, c = np.unique(new, return_counts=True)
-        codes, at = np.unique(np.concatenate([codes, u]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, c]), len(codes)).astype(np.int64)
-        if len(codes) > most:
-            yield codes[counts > 1], counts[counts > 1]
-            codes, counts = codes[:0], counts[:0]
-    yield codes[counts > 1], counts[counts > 1]
+        held.append(new)
+        size += len(new)
+        if size > most:
+            codes, counts = _summed(codes, counts, held)
+            held, size = [], 0
+            if len(codes) > most:
+                yield codes, counts
+                codes, counts = codes[:0], counts[:0]
+    yield _summed(codes, counts, held)
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    new = np.sort(np.concatenate(held)) if held else codes[:0]
+    first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]]) if len(new) else np.zeros(0, np.int64)
+    u, c = new[first], np.diff(np.r_[first, len(new)])
+    if not len(codes):
+        return u, c
+    both, at = np.unique(np.concatenate([codes, u]), return_inverse=True)
+    return both, np.bincount(at, np.concatenate([counts, c]), len(both)).astype(np.int64)
 
 
 def jaccard(left: list[str], right: list[str]) -> np.ndarray:
