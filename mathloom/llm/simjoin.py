@@ -19,7 +19,7 @@ bins as the sets differ in tokens, so the sift loses no pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,8 +53,9 @@ class PathJoin:
     skew: float = 0.5
 
 
-def plain_records(df: DataFrame, key: str, text: str, *tags: str) -> DataFrame:
+def plain_records(df: DataFrame, key: str, text: str, *tags: str, extend: Callable[[list[str]], pd.DataFrame] | None = None, schema: str = "") -> DataFrame:
     """(key bigint, plain string, tags as strings, rep bigint): rep is the hash of the plain text, so equal texts share it.
+    ``extend`` gives more columns (of ``schema``) from the plain texts of a batch.
 
     Null texts and keys that are no numbers give no row; a text without letters or digits neither.
     """
@@ -64,9 +65,11 @@ def plain_records(df: DataFrame, key: str, text: str, *tags: str) -> DataFrame:
         for b in batches:
             b = b.drop_duplicates().copy()
             b["plain"] = [similarity_form(x) for x in b["text"]]
-            yield b.loc[b["plain"] != "", ["key", "plain", *tags]]
+            b = b.loc[b["plain"] != "", ["key", "plain", *tags]].reset_index(drop=True)
+            yield b if extend is None else pd.concat([b, extend(b["plain"].tolist())], axis=1)
 
-    return src.mapInPandas(run, ", ".join(["key bigint, plain string", *(f"`{t}` string" for t in tags)])).withColumn("rep", F.xxhash64("plain"))
+    fields = ["key bigint, plain string", *(f"`{t}` string" for t in tags), *([schema] if schema else [])]
+    return src.mapInPandas(run, ", ".join(fields)).withColumn("rep", F.xxhash64("plain"))
 
 
 def representatives(records: DataFrame) -> tuple[DataFrame, DataFrame]:
