@@ -33,14 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def expire(spark: SparkSession, path: str) -> None:
+    """Have a written path removed when the session's process ends, as a lazy result may be read until then."""
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+
+
 def discard(spark: SparkSession, keep: int = 0) -> int:
     """Remove the tables this process wrote (but the first ``keep``), once their results have been read; returns how
     many there were."""
-    jvm = spark.sparkContext._jvm
     n = len(_WRITTEN) - keep
     while len(_WRITTEN) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        where, system = _file_system(spark, _WRITTEN.pop())
+        system.delete(where, True)
     return n
 
 
@@ -55,7 +65,9 @@ def tables(spark: SparkSession) -> Iterator[None]:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a stage that lost executors cannot undo."""
+    """Write ``df`` to the shared folder and read it back: a stage that lost executors cannot undo. The table is removed
+    at the end of ``tables`` or with the process."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    expire(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
