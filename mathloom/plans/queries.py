@@ -12,7 +12,7 @@ from mathloom.operators import curate, evaluate, keyed, repair
 from mathloom.plans import jobs
 from mathloom.plans import oracle as o
 from mathloom.sources import files
-from mathloom.sources.shared import new_path
+from mathloom.sources.shared import expire, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -485,6 +485,7 @@ def json_array_sources(spark, d):
     """The table of sources as one JSON array and back, in file order."""
     path = new_path(spark, "array") + "/sources.json"
     files.write_pretty_array(_table(spark, d, "sources").orderBy("source"), path)
+    expire(spark, path)
     v = files.read_json_array(spark, path)
     field = lambda k, t: F.expr(f"try_variant_get(v, '$.{k}', '{t}')").alias(k)
     return v.select("pos", field("source", "string"), field("kind", "string"), field("priority", "int"))
