@@ -1,16 +1,12 @@
 """The same or nearly the same record across splits (problem 3).
 
-Evaluation texts in plain form are cut into passages; an Aho-Corasick automaton over the passages of a shard of
-evaluation texts scans every training text once. Each evaluation text that a training text holds a passage of is
-sifted by its odd sketch (which loses no pair, see ``simjoin``) and compared exactly; the matched intervals of what
-remains are merged into the coverage of the evaluation text's passages.
-
-An evaluation text gives ``passages`` windows of ``width`` characters, drawn by weight: a window in more than
-``common`` evaluation texts weighs (common / its texts) ** skew. So most passages are a text's own, and texts that
-share all but their edits with many others still have some of the wording they share. A text similar to it at the
-threshold holds most of its windows; that it holds none of the passages has a probability of about 1e-3 right at the
-threshold, and soon none above it. Only the table of the common windows' weights is broadcast: mean length / theta
-entries at most.
+An Aho-Corasick automaton over all trigrams of a shard of evaluation texts (in plain form) scans every training text
+once, at every position. Which of them decide that two texts are compared loses no pair: texts similar at the
+threshold share so many trigrams that, both sorted in one order, the first one they share stands near the beginning of
+either (how near, follows from the two sizes and the threshold). The order is by frequency in the shard, rarest first,
+and trigrams of no evaluation text before all others, so few unrelated texts meet. What meets is sifted by odd
+sketches where these lose no pair (see ``simjoin``; up to 192 trigrams) and compared exactly; the matched windows of
+``width`` characters, at all positions, are merged into the coverage of the evaluation text.
 
 Shards hold about ``shard_rows`` texts, whatever the number of texts, which bounds an automaton's memory; blocks hold
 about ``block_rows`` training texts. Both are files in the shared folder; a task scans one block with one shard's
@@ -23,14 +19,15 @@ import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mathloom.llm.shingles import counted, jaccard, mix, token_hashes
-from mathloom.llm.simjoin import half_bound, may_be_similar, plain_records, representatives, sketches
+from mathloom.llm.shingles import jaccard, mix, token_hashes, trigram_codes
+from mathloom.llm.simjoin import half_bound, plain_records, representatives, sketches
 from mathloom.sources.shared import expire, materialize, new_path
 
 
@@ -38,62 +35,11 @@ from mathloom.sources.shared import expire, materialize, new_path
 class Overlap:
     threshold: float = 0.6
     width: int = 6
-    passages: int = 12
-    skew: float = 0.5
-    theta: float = 1e-4
-    common: int = 20
     shard_rows: int = 120_000
     block_rows: int = 60_000
     chunk: int = 500_000
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, start) of every window; a text shorter than ``width`` is one window of its own length."""
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    k = np.where(n >= width, n - width + 1, 0)
-    starts = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(texts)), k)
-    within = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-    at = starts[doc] + within
-    h = np.zeros(len(at), np.uint64)
-    for i in range(width):
-        h = h * _BASE + cp[at + i] if len(at) else h
-    return mix(h), doc, within
-
-
-def common_windows(reps: DataFrame, n: int, p: Overlap) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, one over its weight) of windows in more than max(theta * n, common) evaluation texts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for codes, counts in counted(windows(b["plain"].tolist(), p.width)[0] for b in batches):
-            yield pd.DataFrame({"code": codes.view(np.int64), "n": counts})
-
-    least = float(max(p.theta * n, p.common))
-    got = reps.select("plain").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(least)).toPandas()
-    codes = got["code"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    return codes[order], (got["n"].to_numpy(float)[order] / p.common) ** p.skew
-
-
-def passages(texts: list[str], common: tuple[np.ndarray, np.ndarray], p: Overlap) -> list[list[int]]:
-    """Starts of the windows chosen for each text; a text shorter than a window is one passage, found where it occurs whole."""
-    h, doc, start = windows(texts, p.width)
-    score = mix(h).astype(float)
-    codes, inverse = common
-    if len(codes) and len(h):
-        at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-        score *= np.where(codes[at] == h, inverse[at], 1.0)
-    # positive floats sort as their bits do
-    order = np.argsort((doc.astype(np.uint64) << np.uint64(32)) | score.astype(np.float32).view(np.uint32))
-    start = start[order]
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    return [sorted(start[a : min(a + p.passages, b)].tolist()) or [0] for a, b in zip(first, first[1:])]
-
-
 def text_sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(two odd sketches, numbers of trigrams) of the texts."""
     h, offsets = token_hashes(texts)
@@ -116,64 +62,103 @@ def covered(starts: list[int], width: int) -> int:
     return sum(min(b - a, width) for a, b in zip(starts, [*starts[1:], starts[-1] + width])) if starts else 0
 
 
+def least_shared(sizes: np.ndarray, share: float) -> np.ndarray:
+    """The least whole number that is at least this share of the sizes."""
+    return np.ceil(sizes * share - 1e-9).astype(np.int64)
+
+
+_FINE = 1024  # parts of one in which the rooms of postings are sorted
+
+
 class Shard:
-    """Automaton, texts and sketches of one shard of evaluation records (rep, plain, starts, sketches, size)."""
+    """Automaton, postings, texts and sketches of one shard of evaluation records (rep, plain, sketches, size).
+
+    A token is a trigram's place in the order, rarest first. A posting is a record under one of its first tokens:
+    ``room`` is how many of its tokens are left from that one on, and so how many a text can share with it that shares
+    none before. Postings of a token are sorted by room less the part of the shared tokens that the record's own size
+    asks for, largest first, so a text's size tells how many of them it meets.
+    """
 
     def __init__(self, rows: pd.DataFrame, p: Overlap) -> None:
         import ahocorasick
 
         self.p, self.reps, self.texts = p, rows["rep"].to_numpy(), rows["plain"].tolist()
-        self.starts = [x.tolist() for x in rows["starts"]]
+        self.share = p.threshold / (1 + p.threshold)  # of the sum of two sizes that similar texts have in common at least
         self.sketch, self.sizes = rows[_SKETCH].to_numpy(np.int64).view(np.uint64), rows["size"].to_numpy(np.int64)
-        self.s0, self.s1 = self.sketch[:, 0].copy(), self.sketch[:, 1].copy()
         self.half = half_bound(self.sizes, p.threshold)
-        word: dict[str, int] = {}
-        ids = np.fromiter((word.setdefault(t[s : s + p.width], len(word)) for t, some in zip(self.texts, self.starts) for s in some), np.int64)
-        doc = np.repeat(np.arange(len(self.starts)), np.fromiter(map(len, self.starts), dtype=np.int64, count=len(self.starts)))
+        # texts without trigrams are similar to equal ones only
+        self.short = {t: d for d, t in enumerate(self.texts) if not self.sizes[d]}
+        parts = [trigram_codes(self.texts[a : a + 20_000])[0] for a in range(0, len(self.texts), 20_000)]
+        codes, token, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        place = np.empty(len(codes), np.int64)
+        place[np.argsort(many, kind="stable")] = np.arange(len(codes))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for w, i in word.items():
+        three = np.stack([codes >> np.uint64(42), codes >> np.uint64(21), codes], axis=1) & np.uint64(0x1FFFFF)
+        for w, i in zip(three.astype(np.uint32).view("<U3").ravel().tolist(), place.tolist()):
             self.automaton.add_word(w, i)
         self.automaton.make_automaton()
-        self.doc = doc[np.argsort(ids, kind="stable")]
-        self.at = np.r_[0, np.cumsum(np.bincount(ids, minlength=len(word)))]
+        doc, token, room = self._first(np.repeat(np.arange(len(self.texts)), self.sizes), place[token], self.sizes)
+        spare = np.floor((room - self.share * self.sizes[doc]) * _FINE + 1e-3).astype(np.int64)
+        self.step = int(spare.max(initial=0)) + 2
+        by = token * self.step - spare
+        order = np.argsort(by)
+        self.by, self.doc, self.room = by[order], doc[order].astype(np.int32), room[order].astype(np.int32)
+        self.size = self.sizes[self.doc].astype(np.int32)
+        self.at = np.r_[0, np.cumsum(np.bincount(token, minlength=len(codes)))]
+
+    def _first(self, doc: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, token, room) of the first tokens of each text, as many as a similar text can't lack all of;
+        ``token`` are those in the order, all others of a text's ``sizes`` come before them."""
+        key = np.sort((doc << 32) | token)
+        doc, token = key >> 32, key & 0xFFFFFFFF
+        room = np.searchsorted(doc, np.arange(len(sizes)), side="right")[doc] - np.arange(len(doc))
+        first = room >= least_shared(sizes, self.p.threshold)[doc]
+        return doc[first], token[first], room[first]
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, token) of the distinct trigrams of the texts that the automaton knows."""
+        docs, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(texts) if len(self.automaton) else 0, 4096):
+            found = [{w for _, w in self.automaton.iter(t)} for t in texts[a : a + 4096]]
+            many = np.fromiter(map(len, found), np.int64, len(found))
+            docs.append(np.repeat(np.arange(a, a + len(found)), many))
+            tokens.append(np.fromiter(chain.from_iterable(found), np.int64, many.sum()))
+        return np.concatenate(docs), np.concatenate(tokens)
 
     def scan(self, texts: list[str], sketch: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (text number, record number) of records with a passage in the text that pass the sift."""
-        none = np.zeros(0, np.int64)
-        if not len(self.automaton) or not texts:
-            return none, none
-        hits: list[int] = []
-        many = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            found = {w for _, w in self.automaton.iter(t)}
-            hits.extend(found)
-            many[i] = len(found)
-        w, i = np.array(hits, np.int64), np.repeat(np.arange(len(texts)), many)
-        s0, s1, half = sketch[:, 0].copy(), sketch[:, 1].copy(), half_bound(sizes, self.p.threshold)
-        k = self.at[w + 1] - self.at[w]
+        """Distinct (text number, record number) of all that may be similar."""
+        i, w, room = self._first(*self.tokens(texts), sizes)
+        half = half_bound(sizes, self.p.threshold)
+        begins = self.at[w]
+        k = np.searchsorted(self.by, w * self.step - np.floor(sizes[i] * (self.share * _FINE)).astype(np.int64) + 2, side="right") - begins
+        some = k > 0
+        i, room, begins, k = i[some], room[some], begins[some], k[some]
+        size = sizes[i]
         ends = np.cumsum(k)
-        out = [none]
+        out = [np.array([(t << 32) | self.short[x] for t, x in enumerate(texts) if x in self.short], np.int64)]
         begin = 0
-        while begin < len(w):  # a bounded number of postings at a time
+        while begin < len(k):  # a bounded number of postings at a time
             end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + self.p.chunk, side="right")))
             c = k[begin:end]
-            doc = self.doc[np.repeat(self.at[w[begin:end]] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
-            spread = lambda x: np.repeat(x[i[begin:end]], c)
-            near = np.flatnonzero(np.bitwise_count(spread(s0) ^ self.s0[doc]) + np.bitwise_count(spread(s1) ^ self.s1[doc]) <= spread(half) + self.half[doc])
-            doc, text = doc[near], np.repeat(i[begin:end], c)[near]
-            keep = np.ones(len(doc), bool)
-            for some in (slice(0, 2), slice(2, 4)):
-                keep &= may_be_similar(sketch[text, some], self.sketch[doc, some], sizes[text], self.sizes[doc], self.p.threshold)
-            out.append(np.unique((text[keep] << 32) | doc[keep]))
+            at = np.repeat(begins[begin:end] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            spread = lambda x: np.repeat(x[begin:end], c)
+            near = np.flatnonzero(np.minimum(spread(room), self.room[at]) >= (spread(size) + self.size[at]) * self.share - 1e-6)
+            text, doc = spread(i)[near], self.doc[at[near]].astype(np.int64)
+            for a in (0, 2):
+                apart = sum(np.bitwise_count(sketch[text, b] ^ self.sketch[doc, b]) for b in (a, a + 1))
+                keep = apart <= half[text] + self.half[doc]
+                text, doc = text[keep], doc[keep]
+            out.append(np.unique((text << 32) | doc))
             begin = end
         both = np.unique(np.concatenate(out))
         return both >> 32, both & 0xFFFFFFFF
 
     def coverage(self, d: int, text: str) -> float:
-        """Share of the characters of record d's passages that stand in passages found in the text."""
+        """Share of the characters of record d that stand in windows found in the text; a text shorter than a window is
+        one window."""
         t, width = self.texts[d], min(self.p.width, len(self.texts[d]))
-        found = [s for s in self.starts[d] if t[s : s + width] in text]
-        return covered(found, width) / max(1, covered(self.starts[d], width))
+        held = {text[s : s + width] for s in range(len(text) - width + 1)}
+        return covered([s for s in range(len(t) - width + 1) if t[s : s + width] in held], width) / len(t)
 
 
 _HELD: dict[str, Shard] = {}
@@ -226,13 +211,11 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "id", text:
     schema = "train_id bigint, rep bigint, similarity double, coverage double"
     if not n:
         return spark.createDataFrame([], schema), members
-    common = spark.sparkContext.broadcast(common_windows(reps, n, p))
     where = new_path(spark, "overlap")
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = b["plain"].tolist()
-            yield pd.concat([b.reset_index(drop=True).assign(starts=passages(texts, common.value, p)), sketch_table(texts)], axis=1)
+            yield pd.concat([b.reset_index(drop=True), sketch_table(b["plain"].tolist())], axis=1)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         import pyarrow.fs as fs
@@ -246,7 +229,7 @@ def cross_split(train: DataFrame, evaluation: DataFrame, key: str = "id", text:
         return pd.DataFrame({"path": [path]})
 
     of = F.pmod(F.xxhash64(F.col("rep"), F.lit(7)), F.lit(-(-n // p.shard_rows))).alias("shard")
-    built = reps.mapInPandas(choose, f"rep bigint, plain string, starts array<int>, {_SKETCHED}").groupBy(of).applyInPandas(build, "path string")
+    built = reps.mapInPandas(sketched, f"rep bigint, plain string, {_SKETCHED}").groupBy(of).applyInPandas(build, "path string")
     shards = [r["path"] for r in materialize(built, "shards").collect()]  # one path a shard
     trained = plain_records(train, key, text, extend=sketch_table, schema=_SKETCHED).drop("rep")  # sketched once for all shards
     blocks = max(-(-spark.sparkContext.defaultParallelism // len(shards)), -(-train.count() // p.block_rows))

@@ -47,7 +47,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation records that occur in train, by split and source of the evaluation record: how many there are, how many
-    occur, in how many pairs, and which mean share of their passages the training text nearest to them covers.
+    occur, in how many pairs, and which mean share of their characters the training text nearest to them covers.
 
     A record that stands under several sources counts under the least of them."""
     hit = _overlaps(spark, d).groupBy("eval_id", "split").agg(F.countDistinct("train_id").alias("copies"), F.max("coverage").alias("coverage"))

@@ -43,27 +43,35 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], offsets
 
 
-_LOW = np.uint64((1 << 44) - 1)
-
-
-def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of each text as hashes: (hashes, offsets). Two trigrams of a text count as one where 44 bits of
-    their hashes agree, which no text is expected to see; one sort of one array in place of the two of ``trigrams``."""
-    if len(texts) > 1 << 19:
-        a, oa = token_hashes(texts[: 1 << 19])
-        b, ob = token_hashes(texts[1 << 19 :])
+def trigram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``trigrams`` (codes of a text in another order), by one sort of one array: characters are numbered so
+    that a text's number and three characters fit one integer. Where they don't, each half of the texts goes alone."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    used = np.flatnonzero(np.bincount(cp, minlength=1)).astype(np.uint64)
+    bits = max(1, int(len(used) - 1).bit_length())
+    if 3 * bits + len(texts).bit_length() > 64 and len(texts) > 1:
+        a, oa = trigram_codes(texts[: len(texts) // 2])
+        b, ob = trigram_codes(texts[len(texts) // 2 :])
         return np.concatenate([a, b]), np.concatenate([oa, ob[1:] + oa[-1]])
-    cp = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    number = np.zeros(int(used[-1]) + 1 if len(used) else 1, np.uint64)
+    number[used.astype(np.int64)] = np.arange(len(used), dtype=np.uint64)
+    c, one, two, three = number[cp], np.uint64(bits), np.uint64(2 * bits), np.uint64(3 * bits)
     n = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
-    inside = np.flatnonzero(doc[2:] == doc[:-2]) if len(doc) > 2 else np.zeros(0, np.int64)
-    codes = (cp[inside] << np.uint64(42)) | (cp[inside + 1] << np.uint64(21)) | cp[inside + 2] if len(inside) else np.zeros(0, np.uint64)
-    key = np.sort((doc[inside] << np.uint64(44)) | (mix(codes) >> np.uint64(20)))
+    key = (doc[2:] << three) | (c[:-2] << two) | (c[1:-1] << one) | c[2:]
+    key = np.sort(key[doc[2:] == doc[:-2]])
     if len(key):
         key = key[np.r_[True, key[1:] != key[:-1]]]
     offsets = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=len(texts)), out=offsets[1:])
-    return mix(key & _LOW), offsets
+    np.cumsum(np.bincount((key >> three).astype(np.int64), minlength=len(texts)), out=offsets[1:])
+    low = (np.uint64(1) << one) - np.uint64(1)
+    return (used[(key >> two) & low] << np.uint64(42)) | (used[(key >> one) & low] << np.uint64(21)) | used[key & low], offsets
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of each text as hashes: (hashes, offsets). Unlike trigrams have unlike hashes."""
+    codes, offsets = trigram_codes(texts)
+    return mix(codes), offsets
 
 
 def segment_min(values: np.ndarray, offsets: np.ndarray, empty: int) -> np.ndarray:

@@ -186,3 +186,81 @@ def test_covered():
     from mathloom.llm.overlap import covered
 
     assert covered([], 6) == 0 and covered([0], 6) == 6 and covered([0, 2, 20], 6) == 14 and covered([5, 11], 6) == 12
+
+
+def test_overlap_of_moved_pieces(spark):
+    """Every similar pair is found, also those that have no six characters in a row in common, or hardly any."""
+    rng = random.Random(12)
+    train, ev = [], []
+    for k in range(400):  # pieces of 5 that overlap by 2, in another order: all trigrams of the text, no window of 6
+        t = "".join(rng.sample(HAN, 5 + 3 * rng.randint(9, 25)))
+        pieces = [t[s : s + 5] for s in range(0, len(t) - 4, 3)]
+        rng.shuffle(pieces)
+        train.append("".join(pieces))
+        ev.append(t)
+    for k in range(400):  # pieces of 8 and 9 side by side
+        t = "".join(rng.sample(HAN, 90))
+        cuts = [0]
+        while cuts[-1] < 90:
+            cuts.append(cuts[-1] + rng.randint(8, 9))
+        pieces = [t[a:b] for a, b in zip(cuts, cuts[1:])]
+        rng.shuffle(pieces)
+        train.append("".join(pieces))
+        ev.append(t)
+    a = spark.createDataFrame([(str(i), t) for i, t in enumerate(train)], "id string, question string")
+    b = spark.createDataFrame([(str(1000 + i), t) for i, t in enumerate(ev)], "id string, question string")
+    sets = [[grams(t) for t in side] for side in (train, ev)]
+    want = {(i, 1000 + j) for i, x in enumerate(sets[0]) for j, y in enumerate(sets[1]) if len(x & y) >= 0.6 * len(x | y)}
+    assert len(want) >= 600
+    pairs, members = cross_split(a, b)
+    assert {(r["train_id"], r["key"]) for r in pairs.join(members, "rep").collect()} == want
+
+
+def test_overlap_coverage_of_all_positions(spark):
+    """Two thirds of the characters stand in windows that both texts hold."""
+    t = "".join(HAN[:90])
+    train = spark.createDataFrame([("1", t[:60] + "".join(HAN[200:204])), ("2", t[:66] + "好" + t[67:])], "id string, question string")
+    pairs, _ = cross_split(train, spark.createDataFrame([("7", t)], "id string, question string"))
+    got = {r["train_id"]: r["coverage"] for r in pairs.collect()}
+    assert got == {1: pytest.approx(60 / 90), 2: pytest.approx(89 / 90)}
+
+
+def test_overlap_whatever_the_sketches(spark):
+    """Texts beyond 192 trigrams of which the sketches keep and tell apart nearly all that differs, and hardly anything else."""
+    import numpy as np
+
+    rng = random.Random(13)
+    kept = lambda t: ((h := int(shingles.token_hashes([t])[0][0])) & 1 == 0, h >> 40 & 127)
+    bins = set()
+
+    def piece(two, n):
+        """n characters, each making a trigram that is kept and has a bin of its own."""
+        t = two
+        while len(t) < n + 2:
+            c = chr(rng.randrange(0x4E00, 0x9FA0))
+            keep, where = kept(t[-2:] + c)
+            if keep and where not in bins:
+                bins.add(where)
+                t += c
+        return t
+
+    same = "".join(rng.sample([chr(c) for c in range(0x4E00, 0x9FA0)], 150))
+    pair = [piece(same[-2:], 46), piece(same[-2:], 46)]
+    pair = [same + t[2:] for t in pair]
+    h, offsets = shingles.token_hashes(pair)
+    sizes = np.diff(offsets)
+    s = simjoin.sketches(h, np.repeat([0, 1], sizes), sizes)
+    assert similar(*pair) and not simjoin.may_be_similar(s[:1], s[1:], sizes[:1], sizes[1:], 0.6)[0]
+    train, ev = (spark.createDataFrame([(str(i), t)], "id string, question string") for i, t in enumerate(pair))
+    assert [r["train_id"] for r in cross_split(train, ev)[0].collect()] == [0]
+
+
+def test_trigram_codes_of_many_characters():
+    """Also of so many different characters that texts and trigrams don't fit one integer."""
+    rng = random.Random(14)
+    letters = [chr(c) for c in (*range(0x3400, 0xD7A0), *range(0x20000, 0x30000))]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)] + ["", "ab", "aaaa", chr(0x10FFFF) * 3]
+    for some in (texts, texts[-4:], texts[:1], []):
+        (one, a), (other, b) = shingles.trigram_codes(some), shingles.trigrams(some)
+        assert a.tolist() == b.tolist()
+        assert all(set(one[x:y].tolist()) == set(other[x:y].tolist()) for x, y in zip(a, a[1:]))
