@@ -129,8 +129,10 @@ class Shard:
         """Distinct (text number, record number) of all that may be similar."""
         i, w, room = self._first(*self.tokens(texts), sizes)
         half = half_bound(sizes, self.p.threshold)
-        begins = self.at[w]
-        k = np.searchsorted(self.by, w * self.step - np.floor(sizes[i] * (self.share * _FINE)).astype(np.int64) + 2, side="right") - begins
+        most = w * self.step - np.floor(sizes[i] * (self.share * _FINE)).astype(np.int64) + 2
+        order = np.argsort(most)  # postings are then read in their order
+        i, room, most, begins = i[order], room[order], most[order], self.at[w[order]]
+        k = np.searchsorted(self.by, most, side="right") - begins
         some = k > 0
         i, room, begins, k = i[some], room[some], begins[some], k[some]
         size = sizes[i]
